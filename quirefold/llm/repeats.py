@@ -1,0 +1,316 @@
+"""Word runs that occur more than once in a corpus, found exactly at scale.
+
+Every document is dealt to a *block* (a bounded share of the corpus).  A
+window is a run of ``window`` consecutive words of one document.  Inside each
+window the least ``gram``-word hash is its minimiser; equal windows have equal
+minimisers at equal offsets, so
+
+1. each block lists the minimiser positions it selects (about one in
+   ``window / 2`` words) and one shuffle by minimiser hash finds those that
+   are selected more than once anywhere;
+2. each block then lists only the windows around such minimisers, once per
+   block however often they repeat there, and a second shuffle finds the
+   windows that start more than once;
+3. each block gets its repeated windows back and marks its documents.
+
+Rows are keyed by (key, block), pre-aggregated in the block, so a passage that
+a third of all documents hold costs one row a block.  The sorted pass over
+keys streams and holds one key at a time.  Windows are compared by 96 hash
+bits under an equal 64-bit minimiser's block list.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quirefold.llm.arrays import Words, mix, sliding_argmin, window_hashes, window_starts, word_slices
+from quirefold.session import shuffle_partitions
+
+BLOCK = "_block"
+SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int | None = None) -> DataFrame:
+    """Documents dealt to blocks by a hash of id and text (null ids and copies spread)."""
+    n = blocks or shuffle_partitions(docs.sparkSession)
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
+    return docs.withColumn(BLOCK, key).repartition(n, BLOCK)
+
+
+class _Slice:
+    """Window hashes and minimisers of a slice of texts."""
+
+    def __init__(self, words: Words, window: int, gram: int):
+        self.words = words
+        h = words.hashes()
+        self.ok = np.flatnonzero(window_starts(words.first, window, len(h)))
+        self.n_words = len(h)
+        self.a = self.b = self.anchor = np.zeros(0, np.uint64)
+        self.picked = np.zeros(0, np.int64)
+        if len(self.ok):
+            grams, _ = window_hashes(h, gram)
+            self.picked = sliding_argmin(grams, window - gram + 1)[self.ok]
+            self.anchor = grams[self.picked]
+            self.h = h
+            self.window = window
+
+    def keys(self, pick: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        a, b = window_hashes(self.h, self.window)
+        at = self.ok[pick]
+        return a[at], (b[at] >> np.uint64(32)).astype(np.int64)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and 1 or 2 for once or more often."""
+    u, c = np.unique(keys, return_counts=True)
+    return u, np.minimum(c, 2).astype(np.int8)
+
+
+def _anchors(text_col: str, window: int, gram: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for words in word_slices(table[text_col]):
+            s = _Slice(words, window, gram)
+            if len(s.ok):
+                new = np.ones(len(s.picked), bool)
+                new[1:] = s.picked[1:] != s.picked[:-1]
+                found.append(s.anchor[new])
+        keys, n = _grouped(np.concatenate(found) if found else np.zeros(0, np.uint64))
+        block = table[BLOCK][0].as_py() if len(table) else 0
+        return pa.table({"key": keys.view(np.int64), "n": n, "block": np.full(len(keys), block, np.int32)})
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by their key columns (all before ``n``), those whose key counts to 2 or more.
+
+    Streams: one open key is carried from batch to batch, and of its rows only
+    the first one while it stands alone.
+    """
+    held: pa.RecordBatch | None = None  # a lone row with n = 1 that may yet repeat
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.schema.names
+        cut = names.index("n")
+        cols = [batch.column(i).to_numpy() for i in range(cut)]
+        n = batch.column(cut).to_numpy()
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0] = True
+        for c in cols:
+            edge[1:] |= c[1:] != c[:-1]
+        heads = np.flatnonzero(edge)
+        total = np.add.reduceat(n.astype(np.int64), heads)
+        joins = last is not None and tuple(c[0] for c in cols) == last
+        if joins:
+            total[0] += 1  # whatever came before counts
+            if held is not None:
+                yield held
+                held = None
+        elif held is not None:
+            held = None
+        size = np.diff(np.append(heads, batch.num_rows))
+        keep = np.repeat(total >= 2, size)
+        last = tuple(c[-1] for c in cols)
+        if total[-1] < 2:  # a single row, open at the batch's end
+            held = batch.slice(batch.num_rows - 1, 1)
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
+def _sorted_repeats(rows: DataFrame, keys: list[str], n: int, order: list[str] | None = None) -> DataFrame:
+    names = [*keys, "n", *[c for c in rows.columns if c not in (*keys, "n")]]
+    rows = rows.select(*names)
+    return rows.repartition(n, keys[0]).sortWithinPartitions(*(order or keys)).mapInArrow(_repeated, rows.schema)
+
+
+def _candidates(text_col: str, id_col: str, window: int, gram: int, places: bool):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int8), "block": np.zeros(0, np.int32)}
+        if places:
+            empty |= {"doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64)}
+        if not len(left) or not len(right):
+            return pa.table(empty)
+        wanted = np.sort(right["key"].to_numpy().view(np.uint64))
+        ids = left[id_col].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy() if places else None
+        a, b, doc, pos = [], [], [], []
+        for words in word_slices(left[text_col]):
+            s = _Slice(words, window, gram)
+            if not len(s.ok):
+                continue
+            pick = np.flatnonzero(member(s.anchor, wanted))
+            if not len(pick):
+                continue
+            x, y = s.keys(pick)
+            a.append(x)
+            b.append(y)
+            if places:
+                at = s.ok[pick]
+                row = np.searchsorted(words.first, at, side="right") - 1
+                doc.append(ids[words.row + row])
+                pos.append(at - words.first[row])
+        if not a:
+            return pa.table(empty)
+        x, y = np.concatenate(a), np.concatenate(b)
+        block = left[BLOCK][0].as_py()
+        if places:
+            d, p = np.concatenate(doc), np.concatenate(pos)
+            order = np.lexsort((p, d, y, x))
+            d, p = d[order], p[order]
+        else:
+            order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        head = np.ones(len(x), bool)
+        head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        at = np.flatnonzero(head)
+        n = np.minimum(np.diff(np.append(at, len(x))), 2).astype(np.int8)
+        out = {"a": x[at].view(np.int64), "b": y[at], "n": n, "block": np.full(len(at), block, np.int32)}
+        if places:
+            out |= {"doc": d[at], "pos": p[at]}
+        return pa.table(out)
+
+    return run
+
+
+def member(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """values in the sorted array wanted, quickly when few distinct values repeat."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
+
+
+def joined_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both window hashes as one, for look-ups inside a block."""
+    return mix(a ^ (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def spans_of(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def cover(starts: np.ndarray, window: int, n_words: int) -> np.ndarray:
+    """Words covered by the windows at ``starts``."""
+    change = np.zeros(n_words + 1, np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.minimum(starts + window, n_words), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def repeated_windows(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    window: int,
+    gram: int,
+    rewrite: Callable[[bytes, np.ndarray, np.ndarray], bytes],
+    keep_first: bool,
+    blocks: int | None = None,
+) -> DataFrame:
+    """``docs`` with ``text_col`` rewritten, plus n_words and spans (word starts and ends cut).
+
+    rewrite(text, starts and ends in bytes of the words, words to cut) makes
+    the new text.  keep_first: the window's first place by (id, position)
+    stays; otherwise every place of a repeated window goes.  Null texts stay
+    null, with no words.
+    """
+    n = blocks or shuffle_partitions(docs.sparkSession)
+    x = dealt(docs, id_col, text_col, n)
+    anchors = x.groupBy(BLOCK).applyInArrow(_anchors(text_col, window, gram), "key long, n byte, block int")
+    anchors = _sorted_repeats(anchors, ["key"], n).select("key", F.col("block").alias(BLOCK))
+    place = ", doc long, pos long" if keep_first else ""
+    cand = (
+        x.groupBy(BLOCK)
+        .cogroup(anchors.groupBy(BLOCK))
+        .applyInArrow(_candidates(text_col, id_col, window, gram, keep_first), f"a long, b long, n byte, block int{place}")
+    )
+    if keep_first:
+        hits = _first_places(cand, n).withColumnRenamed("block", BLOCK)
+    else:
+        hits = _sorted_repeats(cand, ["a", "b"], n).select("a", "b", F.col("block").alias(BLOCK))
+    schema = T.StructType([*x.drop(BLOCK).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
+    return x.groupBy(BLOCK).cogroup(hits.groupBy(BLOCK)).applyInArrow(
+        _mark(id_col, text_col, window, gram, rewrite, keep_first, schema), schema
+    )
+
+
+def _first_places(cand: DataFrame, n: int) -> DataFrame:
+    """Repeated windows with, per block, the first place's id and position if it lies there."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev: tuple | None = None
+        for batch in _repeated(batches):
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            head = np.ones(len(a), bool)
+            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            if prev is not None and (a[0], b[0]) == prev:
+                head[0] = False
+            prev = (a[-1], b[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(head)], schema=batch.schema.append(pa.field("first", pa.bool_()))
+            )
+
+    rows = cand.select("a", "b", "n", "block", "doc", "pos")
+    return (
+        rows.repartition(n, "a")
+        .sortWithinPartitions("a", "b", "doc", "pos")
+        .mapInArrow(mark, rows.schema.add("first", "boolean"))
+        .select("a", "b", "block", "doc", "pos", "first")
+    )
+
+
+def _mark(id_col, text_col, window, gram, rewrite, keep_first, schema):
+    names = [f.name for f in schema]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({c: left[c] for c in names[:-2]} | {"n_words": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+        key = joined_key(right["a"].to_numpy().view(np.uint64), right["b"].to_numpy()) if len(right) else np.zeros(0, np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        if keep_first and len(right):
+            first = right["first"].to_numpy()[order]
+            home, pos = right["doc"].to_numpy()[order], right["pos"].to_numpy()[order]
+        ids = left[id_col].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy() if keep_first else None
+        null = left[text_col].is_null().to_numpy()
+        texts, counts, starts, ends, sizes = [], [], [], [], [0]
+        for words in word_slices(left[text_col]):
+            s = _Slice(words, window, gram)
+            cut = np.zeros(s.n_words, bool)
+            if len(s.ok) and len(key):
+                mine = joined_key(*s.keys(slice(None)))
+                at = np.searchsorted(key, mine)
+                at[at == len(key)] = 0
+                hit = key[at] == mine
+                if keep_first:
+                    row = np.searchsorted(words.first, s.ok, side="right") - 1
+                    hit &= ~(first[at] & (home[at] == ids[words.row + row]) & (pos[at] == s.ok - words.first[row]))
+                cut = cover(s.ok[hit], window, s.n_words)
+            data = words.data.tobytes()
+            for i, c in enumerate(words.counts.tolist()):
+                o, e = int(words.offsets[i]), int(words.offsets[i + 1])
+                w = slice(int(words.first[i]), int(words.first[i]) + c)
+                counts.append(c)
+                gone = cut[w]
+                a, b = spans_of(gone) if c else (gone, gone)
+                starts.extend(a.tolist())
+                ends.extend(b.tolist())
+                sizes.append(len(starts))
+                texts.append(None if null[words.row + i] else rewrite(data[o:e], words.starts[w] - o, words.ends[w] - o, gone if len(a) else None))
+        spans = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["start", "end"]))
+        text = pa.array(texts, pa.binary()).cast(pa.string())
+        out = {c: (text if c == text_col else left[c]) for c in names[:-2]}
+        return pa.table(out | {"n_words": pa.array(counts, pa.int64()), "spans": spans})
+
+    return run

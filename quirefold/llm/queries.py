@@ -18,6 +18,12 @@ def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm.suffix_dedup import suffix_dedup
 
@@ -29,6 +35,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_rlz_dedup": op2_rlz_dedup, "op8_suffix_dedup": op8_suffix_dedup}
+QUERIES = {
+    "op2_rlz_dedup": op2_rlz_dedup,
+    "op5_setsketch": op5_setsketch,
+    "op8_suffix_dedup": op8_suffix_dedup,
+}
 
 ORACLE: dict[str, str] = {}

@@ -35,7 +35,23 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2048, end_id=0)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
+    "op10_bpe": op10_bpe,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op2_rlz_dedup": op2_rlz_dedup,
     "op5_setsketch": op5_setsketch,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -49,7 +49,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(n: int):
+    """crc32 of the id as text (a null id: of the empty text) modulo n."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op7_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = _remainder(3) == 1
+    model = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES = {
+    "op7_kneser_ney_langid": op7_kneser_ney_langid,
     "op10_bpe": op10_bpe,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op2_rlz_dedup": op2_rlz_dedup,

@@ -75,7 +75,15 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.voronoi_knn import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 QUERIES = {
+    "op3_voronoi_knn": op3_voronoi_knn,
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op7_kneser_ney_langid": op7_kneser_ney_langid,
     "op10_bpe": op10_bpe,
@@ -86,3 +94,16 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {}
+ORACLE["op3_voronoi_knn"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.w, d.w) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -257,16 +257,17 @@ def _first_places(cand: DataFrame, n: int) -> DataFrame:
             if prev is not None and (a[0], b[0]) == prev:
                 head[0] = False
             prev = (a[-1], b[-1])
+            doc, pos = (np.where(head, batch.column(c).to_numpy(), 0) for c in ("doc", "pos"))  # of no use elsewhere
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(head)], schema=batch.schema.append(pa.field("first", pa.bool_()))
+                [batch.column("a"), batch.column("b"), batch.column("block"), pa.array(doc), pa.array(pos), pa.array(head)],
+                names=["a", "b", "block", "doc", "pos", "first"],
             )
 
     rows = cand.select("a", "b", "n", "block", "doc", "pos")
     return (
         rows.repartition(n, "a")
         .sortWithinPartitions("a", "b", "doc", "pos")
-        .mapInArrow(mark, rows.schema.add("first", "boolean"))
-        .select("a", "b", "block", "doc", "pos", "first")
+        .mapInArrow(mark, "a long, b long, block int, doc long, pos long, first boolean")
     )
 
 

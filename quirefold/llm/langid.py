@@ -23,7 +23,8 @@ deviation sqrt(between + within / characters).
 
 Results: null text or a text without letters: ``und`` with score 0, rejected.
 Nothing to learn from: every text is ``und``.  Labels, sources and ids are
-never inputs of a prediction.  Extra columns are carried along.
+never inputs of a prediction.  Extra columns are carried along; those named
+as results are replaced.
 """
 
 from __future__ import annotations
@@ -274,9 +275,7 @@ def _judged(model: Model, column: pa.Array) -> tuple[list, list, list]:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score (0 to 1) and rejected."""
-    clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns named as results: {sorted(clash)}")
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,22 @@ def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.secrets import listed, scan
+
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 QUERIES = {
+    "op4_secret_battery": op4_secret_battery,
     "op3_voronoi_knn": op3_voronoi_knn,
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op7_kneser_ney_langid": op7_kneser_ney_langid,

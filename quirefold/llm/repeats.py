@@ -226,6 +226,7 @@ def repeated_windows(
     null, with no words.
     """
     n = blocks or shuffle_partitions(docs.sparkSession)
+    docs = docs.drop("n_words", "spans", BLOCK)
     x = dealt(docs, id_col, text_col, n)
     anchors = x.groupBy(BLOCK).applyInArrow(_anchors(text_col, window, gram), "key long, n byte, block int")
     anchors = _sorted_repeats(anchors, ["key"], n).select("key", F.col("block").alias(BLOCK))

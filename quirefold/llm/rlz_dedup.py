@@ -12,7 +12,8 @@ neighbouring factors is found as well.  The words of all factors of at least
 
 Results: null text -> no words, text stays null; fewer than ``min_words``
 words -> nothing is cut; repeated rows count as documents of their own, so
-their windows repeat; extra columns are carried along unchanged.
+their windows repeat; extra columns are carried along unchanged (those named
+as results are replaced).
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ passages go as a whole.
 
 Results: null text stays null and has no words; shorter texts are left alone;
 rows that repeat an id *and* a text are the same place and stay as the first
-one does; extra columns are carried along.  The text around a cut keeps its
+one does; extra columns are carried along (those named as results are
+replaced).  The text around a cut keeps its
 own spacing.
 """
 

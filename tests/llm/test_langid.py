@@ -43,7 +43,7 @@ def test_arrays_agree_with_recursion():
 def test_held_out_accuracy(spark):
     rnd = random.Random(3)
     rows = [(i, text(rnd, lang, rnd.randint(2, 60)), lang, "x") for i, lang in enumerate(rnd.choice(list(SOUNDS)) for _ in range(300))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     model = learn(docs.where("doc_id % 3 <> 1"))
     got = {r.doc_id: r for r in identify(docs.where("doc_id % 3 = 1"), model).collect()}
     assert np.mean([got[i].lang_pred == lang for i, _, lang, _ in rows if i % 3 == 1]) > 0.97

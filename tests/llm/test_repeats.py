@@ -65,7 +65,7 @@ def brute_first(docs, w):
 def test_rlz_matches_brute_force(spark):
     for seed, small, w in ((1, False, 10), (2, True, 12), (3, False, 35)):
         docs = corpus(seed, small)
-        rows = rlz_dedup(spark.createDataFrame(docs, SCHEMA).drop("n_words"), min_words=w).collect()
+        rows = rlz_dedup(spark.createDataFrame(docs, SCHEMA), min_words=w).collect()
         got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows), key=str)
         assert got == brute_all(docs, w)
 
@@ -73,7 +73,7 @@ def test_rlz_matches_brute_force(spark):
 def test_suffix_matches_brute_force(spark):
     for seed, small, w in ((4, False, 10), (5, True, 12), (6, False, 30)):
         docs = corpus(seed, small)
-        rows = suffix_dedup(spark.createDataFrame(docs, SCHEMA).drop("n_words"), min_words=w).collect()
+        rows = suffix_dedup(spark.createDataFrame(docs, SCHEMA), min_words=w).collect()
         got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), split(r.text)) for r in rows), key=str)
         assert got == brute_first(docs, w)
         assert {r.block for r in rows} == {1, 2, 3, None}

@@ -96,7 +96,14 @@ def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm.vector_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
 QUERIES = {
+    "op9_vector_graph": op9_vector_graph,
     "op4_secret_battery": op4_secret_battery,
     "op3_voronoi_knn": op3_voronoi_knn,
     "op1_suffix_tree_lm": op1_suffix_tree_lm,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.plans import text_queries
+from quirefold.plans.base import Query
 from quirefold.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+MODULES = (text_queries,)
+
+QUERIES: dict[str, Query] = {k: f for m in MODULES for k, f in m.R.queries.items()}
+ORACLE: dict[str, str] = {k: q for m in MODULES for k, q in m.R.oracle.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNKS = r"""chunks AS (
-  SELECT l_orderkey AS job_id, l_partkey % 3 AS chapter_id, l_linenumber AS sequence,
+  SELECT l_orderkey AS job_id, l_partkey % 3 AS chapter_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000000 + l_suppkey AS sequence,
     CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'cached' ELSE 'translated' END AS status,
     CASE WHEN l_returnflag = 'A' THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS latency_ms,
     CAST(l_quantity AS BIGINT) % 4 AS retry_count,
@@ -118,7 +118,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("job_id"),
         (F.col("l_partkey") % 3).alias("chapter_id"),
-        F.col("l_linenumber").alias("sequence"),
+        ((F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")) * 1000000 + F.col("l_suppkey")).alias("sequence"),
         F.when(flag == "R", "failed").when(flag == "A", "cached").otherwise("translated").alias("status"),
         live(F.floor("l_extendedprice")).alias("latency_ms"),
         (qty % 4).alias("retry_count"),

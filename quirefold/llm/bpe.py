@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -31,7 +32,7 @@ from quirefold.llm.packing import byte_letters
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks kept by a worker; the table starts anew beyond.
-KEPT = 250_000
+KEPT = 200_000
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -64,33 +65,37 @@ class Bpe:
         n = len(s)
         if n == 1:
             return s
+        if n >= 1 << 24:
+            raise ValueError("a word of more than 16 MB")
         get = self.merges.get
-        heap = []
+        heap = []  # rank and new id, then position
         for i in range(n - 1):
             m = get(s[i] << 20 | s[i + 1])
             if m is not None:
-                heap.append((m, i))
+                heap.append(m << 24 | i)
         if not heap:
             return s
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            m, i = heappop(heap)
+            m = heappop(heap)
+            i, m = m & 0xFFFFFF, m >> 24
             j = after[i]
             if j == n or s[i] < 0 or get(s[i] << 20 | s[j]) != m:
                 continue  # stale
-            s[i], s[j] = m & 0xFFFFF, -1
+            s[i] = m = m & 0xFFFFF
+            s[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = get(s[i] << 20 | s[k])
-                if m is not None:
-                    heappush(heap, (m, i))
+                p = get(m << 20 | s[k])
+                if p is not None:
+                    heappush(heap, p << 24 | i)
             h = before[i]
             if h >= 0:
-                m = get(s[h] << 20 | s[i])
-                if m is not None:
-                    heappush(heap, (m, h))
+                p = get(s[h] << 20 | m)
+                if p is not None:
+                    heappush(heap, p << 24 | h)
         return [x for x in s if x >= 0]
 
     def word(self, chars: str) -> list[int]:
@@ -98,39 +103,41 @@ class Bpe:
         inner = self.inner
         return self.merge([*(inner[b] for b in raw[:-1]), self.last[raw[-1]]])
 
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a text without white space or special tokens."""
+    def split(self, text: str) -> list[str]:
+        """Normalised words of a text without white space or special tokens."""
         if text.isascii():
-            words = _ASCII.findall(text.lower())
-        else:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-            words = self.words.findall(text)
-        ids: list[int] = []
-        for w in words:
-            ids += self.word(w)
-        return ids
+            return _ASCII.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return self.words.findall(text)
 
     def decode(self, ids) -> str:
         return " ".join(self.strings[i] for i in ids)
 
 
 class _Kept(dict):
-    """Chunk -> little-endian ids; its decoded form is kept beside it."""
+    """Chunk -> little-endian ids and their decoded form, in two generations of bounded size."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.decoded = bpe, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.bpe.chunk(chunk)
-        out = self[chunk] = b"".join(i.to_bytes(4, "little") for i in ids)
-        self.decoded[chunk] = self.bpe.decode(ids)
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+        out = self.older.get(chunk)
+        if out is None:
+            words = self.bpe.split(chunk)
+            if words == [chunk]:
+                ids = self.bpe.word(chunk)
+                out = struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)
+            else:  # its words are chunks of their own
+                parts = [self[w] for w in words]
+                out = b"".join([a for a, _ in parts]), " ".join([b for _, b in parts])
+        self[chunk] = out
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
         if len(self) > KEPT:
+            self.older = dict(self)
             self.clear()
-            self.decoded.clear()
         if "<|" in text:
             ids, decoded = [], []
             for part in self.bpe.marks.split(text):
@@ -146,7 +153,8 @@ class _Kept(dict):
 
     def _plain(self, text: str) -> tuple[bytes, str]:
         chunks = [c for c in _SPLIT.split(text) if c] if _CONTROLS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, chunks)), " ".join(filter(None, map(self.decoded.__getitem__, chunks)))
+        done = list(map(self.__getitem__, chunks))
+        return b"".join([a for a, _ in done]), " ".join([b for _, b in done])
 
 
 _kept: dict[str, _Kept] = {}
@@ -162,8 +170,8 @@ def kept(path: str | None) -> _Kept:
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """All columns of ``docs`` but the text, plus ids (little-endian 32-bit, binary), n_tokens and decoded."""
-    others = [c for c in docs.columns if c != text_col]
+    """All columns of ``docs`` but the text (and any named as results), plus ids (little-endian 32-bit, binary), n_tokens and decoded."""
+    others = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded", "_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kept(vocabulary)
@@ -174,9 +182,6 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
                 names=[*others, "ids", "n_tokens", "decoded"],
             )
 
-    clash = {"ids", "n_tokens", "decoded", "_text"} & set(others)
-    if clash:
-        raise ValueError(f"columns named as results: {sorted(clash)}")
     source = docs.select(*others, F.col(text_col).alias("_text"))
     schema = docs.select(*others).schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "string")
     return source.mapInArrow(run, schema)

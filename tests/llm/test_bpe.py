@@ -21,7 +21,7 @@ def test_like_the_library(spark):
     tok.no_truncation()
     tok.no_padding()
     docs = list(enumerate(texts()))
-    rows = {r.doc_id: r for r in encode(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    rows = {r.doc_id: r for r in encode(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, ids string").repartition(4)).collect()}
     for i, t in docs:
         want = tok.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == want, repr(t)

@@ -306,11 +306,11 @@ def chunk_batches(spark, sf):
     "smoothed_latency",
     f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT job_id, CAST(latency_ms AS DOUBLE) AS v, row_number() OVER (PARTITION BY job_id ORDER BY sequence, latency_ms) AS n FROM chunks WHERE latency_ms > 0),
 r AS (SELECT job_id, n, v AS s FROM c WHERE n = 1 UNION ALL SELECT c.job_id, c.n, r.s * CAST(0.7 AS DOUBLE) + c.v * (1 - CAST(0.7 AS DOUBLE)) FROM r JOIN c ON c.job_id = r.job_id AND c.n = r.n + 1)
-SELECT job_id, round(arg_max(s, n), 3) AS latency FROM r GROUP BY job_id""",
+SELECT job_id, round(arg_max(s, n), 6) AS latency FROM r GROUP BY job_id""",
 )
 def smoothed_latency(spark, sf):
     c = chunks(spark, sf).where("latency_ms > 0").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "latency_ms"))).alias("x"))
-    return c.select("job_id", F.round(ordered.smoothed(F.col("x.latency_ms")), 3).alias("latency"))
+    return c.select("job_id", F.round(ordered.smoothed(F.col("x.latency_ms")), 6).alias("latency"))
 
 
 @R.add("adaptive_limits")

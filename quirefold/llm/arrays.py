@@ -145,8 +145,10 @@ def window_starts(first: np.ndarray, size: int, n_words: int) -> np.ndarray:
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Leftmost position of the least of values[i:i+width], compared by the top 40 bits."""
-    if len(values) >= 1 << 24:
-        raise ValueError("a text of more than 16 million words")
+    if len(values) >= 1 << 24:  # places fit 24 bits: very long texts go in overlapping parts
+        step = 1 << 23
+        parts = [a + sliding_argmin(values[a : a + step + width - 1], width) for a in range(0, len(values) - width + 1, step)]
+        return np.concatenate(parts)
     packed = (values & ~np.uint64((1 << 24) - 1)) | np.arange(len(values), dtype=np.uint64)
     span = 1
     while span * 2 <= width:

@@ -65,21 +65,21 @@ class Bpe:
         n = len(s)
         if n == 1:
             return s
-        if n >= 1 << 24:
-            raise ValueError("a word of more than 16 MB")
+        bits = 24 if n < 1 << 24 else 40
+        places = (1 << bits) - 1
         get = self.merges.get
         heap = []  # rank and new id, then position
         for i in range(n - 1):
             m = get(s[i] << 20 | s[i + 1])
             if m is not None:
-                heap.append(m << 24 | i)
+                heap.append(m << bits | i)
         if not heap:
             return s
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             m = heappop(heap)
-            i, m = m & 0xFFFFFF, m >> 24
+            i, m = m & places, m >> bits
             j = after[i]
             if j == n or s[i] < 0 or get(s[i] << 20 | s[j]) != m:
                 continue  # stale
@@ -90,12 +90,12 @@ class Bpe:
                 before[k] = i
                 p = get(m << 20 | s[k])
                 if p is not None:
-                    heappush(heap, p << 24 | i)
+                    heappush(heap, p << bits | i)
             h = before[i]
             if h >= 0:
                 p = get(s[h] << 20 | m)
                 if p is not None:
-                    heappush(heap, p << 24 | h)
+                    heappush(heap, p << bits | h)
         return [x for x in s if x >= 0]
 
     def word(self, chars: str) -> list[int]:

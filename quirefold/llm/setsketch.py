@@ -9,16 +9,18 @@ the registers, so sketches merge, and two sets agree in a register about as
 often as their Jaccard similarity.
 
 1. Sets with equal digests form a class; only its least id goes on.
-2. ``BANDS`` bands of ``ROWS`` registers deal classes to buckets.  The least
-   member of a bucket is its pivot and meets every other member: a bucket of
-   any size costs one pair a member.
+2. ``BANDS`` bands of ``ROWS`` registers deal classes to buckets.  The member
+   that shares buckets with the most others is a bucket's pivot (the original
+   among its edited copies, as a rule) and meets every other member: a bucket
+   of any size costs one pair a member.
 3. Pairs are pruned by their sizes (exactly) and by the joint likelihood of
    both sketches given the known set sizes (5 standard deviations below the
    threshold), then confirmed on the full sets of the whole texts.
 4. Buckets that still hold members of more than one component are taken up
-   again: all members outside the bucket's largest component become pivots,
-   ``PIVOTS`` a round, until none is left, so no pair of a bucket that could
-   join two components goes untested.
+   again: every member outside the bucket's largest component is held against
+   all members, set against set, in tiles of bounded size, and only true
+   links leave a tile.  So no pair of a bucket that could join two components
+   goes untested, and no pairs are listed.
 
 A pair at the threshold misses every bucket with probability 3e-6, less above.
 
@@ -42,7 +44,8 @@ from quirefold.session import materialize, shuffle_partitions
 
 REGISTERS, BANDS, ROWS = 160, 32, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
-PIVOTS = 64
+#: Shingles of the members in a tile.
+TILE = 500_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -211,8 +214,8 @@ def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, rep): members of buckets of two or more, with the bucket's first as pivot."""
-    last, pivot, alone = None, 0, False
+    """Rows sorted by (key, rep): members of buckets of two or more."""
+    last, open_rep, alone = None, 0, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -223,20 +226,19 @@ def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[0] = not carried
         heads = np.flatnonzero(head)
         group = np.cumsum(head) - 1  # -1: belongs to the carried bucket
-        base = np.append(rep[heads], pivot)[group]
         size = np.bincount(group + 1, minlength=len(heads) + 1)
         multi = size >= 2
         multi[0] = True
         keep = multi[group + 1]
-        out_key, out_rep, out_pivot = key[keep], rep[keep], base[keep]
+        out_key, out_rep = key[keep], rep[keep]
         if carried and alone:
-            out_key, out_rep, out_pivot = np.append(out_key, key[0]), np.append(out_rep, pivot), np.append(out_pivot, pivot)
+            out_key, out_rep = np.append(out_key, key[0]), np.append(out_rep, open_rep)
         if len(heads):
-            pivot, alone = int(rep[heads[-1]]), size[-1] == 1
+            open_rep, alone = int(rep[heads[-1]]), size[-1] == 1
         else:
             alone = False
         last = key[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_rep), pa.array(out_pivot)], names=["key", "rep", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_rep)], names=["key", "rep"])
 
 
 def _likely(percent: int):
@@ -295,7 +297,7 @@ def near_duplicates(
         .mapInArrow(_to_bands, "key long, rep long")
         .repartition(n, "key")
         .sortWithinPartitions("key", "rep")
-        .mapInArrow(_to_buckets, "key long, rep long, pivot long"),
+        .mapInArrow(_to_buckets, "key long, rep long"),
         "buckets",
     )
 
@@ -311,11 +313,11 @@ def near_duplicates(
         tb = source.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return materialize(pairs.join(ta, "a").join(tb, "b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
 
-    links = confirmed(likely(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
+    links = confirmed(likely(_stars(buckets)))
     parts = connected_components(links, "a", "b")
-    more = _open_pairs(buckets, parts, likely)
-    if more is not None:
-        links = links.unionByName(confirmed(more))
+    more = materialize(_open_links(buckets, parts, classes, source, shingle, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         parts = connected_components(links, "a", "b")
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component")
@@ -327,28 +329,55 @@ def near_duplicates(
     )
 
 
-def _open_pairs(buckets: DataFrame, parts: DataFrame, likely) -> DataFrame | None:
-    """Likely pairs across the components that still meet in a bucket."""
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Each member with its bucket's pivot: the member that meets most others over all its buckets."""
+    size = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    weight = buckets.join(size, "key").groupBy("rep").agg(F.sum("size").alias("weight"))
+    order = F.struct("weight", -F.col("rep"))
+    pivot = buckets.join(weight, "rep").groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
+    pairs = buckets.join(pivot, "key").where("rep <> pivot")
+    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _open_links(buckets, parts, classes, source, shingle: int, percent: int) -> DataFrame:
+    """Links between different components that meet in a bucket."""
     b = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     per = b.groupBy("key", "c").agg(F.count("*").alias("size"))
-    big = per.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("big"), F.count("*").alias("n")).where("n > 1").drop("n")
-    live = materialize(b.join(big, "key"), "open")
-    ranked = materialize(
-        live.where("c <> big").select("key", "rep", "c", (F.rank().over(_by_key()) - 1).alias("rank")), "pivots"
-    )
-    top = ranked.agg(F.max("rank")).first()[0]
-    if top is None:
-        return None
-    found = None
-    for r in range(top // PIVOTS + 1):
-        p = ranked.where(F.floor(F.col("rank") / PIVOTS) == r).select("key", F.col("rep").alias("p"), F.col("c").alias("cp"))
-        pairs = p.join(live, "key").where("c <> cp").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        new = likely(pairs)
-        found = new if found is None else found.unionByName(new)
-    return found.distinct()
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("rep")
+    big = per.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("big"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    live = materialize(b.join(big, "key").join(classes.select("rep", "n"), "rep"), "open")
+    tiles = live.groupBy("key").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("g"))
+    own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    dealt = live.join(tiles, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    text = source.select(F.col("id").alias("rep"), F.col("text")).join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"])
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", (F.col("c") != F.col("big")).alias("out"))
+    return dealt.join(text, "rep").groupBy("key", "i", "j").applyInArrow(_tile(shingle, percent), "a long, b long").distinct()
+
+
+def _tile(shingle: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts, first = [], [np.zeros(1, np.int64)]
+        for words in word_slices(table["text"]):
+            s, f = shingle_sets(words, shingle)
+            parts.append(s)
+            first.append(f[1:] + first[-1][-1])
+        first = np.concatenate(first)
+        _, local = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.diff(first)
+        rep, c, own = (table[x].to_numpy() for x in ("rep", "c", "own"))
+        two = table["i"][0].as_py() != table["j"][0].as_py()
+        mark = np.zeros(local.max() + 1, np.int32)
+        a, b = [], []
+        for x in np.flatnonzero(table["out"].to_numpy()):
+            mine = local[first[x] : first[x + 1]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[local], first[:-1])  # no set here is empty
+            mark[mine] = 0
+            hit = (100 * common >= percent * (n + n[x] - common)) & (c != c[x])
+            if two:
+                hit &= own != own[x]
+            for y in np.flatnonzero(hit):
+                a.append(min(rep[x], rep[y]))
+                b.append(max(rep[x], rep[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run

@@ -73,3 +73,23 @@ def test_sketches_merge_and_estimate():
     assert (np.maximum(k[0], k[1]) == k[2]).all()
     j = estimate(k[:1], k[1:2], np.array([2000.0]), np.array([2100.0]))[0]
     assert abs(j - 1500 / 2600) < 0.15
+
+
+def test_large_group_with_outliers(spark, monkeypatch):
+    """Edited copies of one text, some linked only to each other, with tiny tiles."""
+    import quirefold.llm.setsketch as module
+
+    monkeypatch.setattr(module, "TILE", 3000)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(150):
+        c = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            c[rnd.randrange(100)] = f"x{rnd.randint(0, 400)}"
+        docs.append((i, " ".join(c)))
+        if rnd.random() < 0.2:
+            c[rnd.randrange(100)] = "y"
+            docs.append((1000 + i, " ".join(c)))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()
+    assert sorted(tuple(r) for r in got) == brute(docs, 2, 80)

@@ -301,21 +301,25 @@ def near_duplicates(
         "buckets",
     )
 
+    # whole texts move once, and only those of bucket members go on; the joins on
+    # text are merge joins at every size, so that growth stays in proportion
+    members = buckets.select("rep").distinct()
+    texts = materialize(source.withColumnRenamed("id", "rep").join(members.hint("merge"), "rep").dropDuplicates(["rep"]).select("rep", "text"), "texts")
+
     def likely(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
         b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
         fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return materialize(pairs.join(a, "a").join(b, "b").where(fit).mapInArrow(_likely(percent), "a long, b long"), "pairs")
+        return materialize(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fit).mapInArrow(_likely(percent), "a long, b long"), "pairs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        # rows that repeat an id repeat its text: one of them is enough, and links are made distinct anyway
-        ta = source.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        tb = source.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return materialize(pairs.join(ta, "a").join(tb, "b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
+        ta = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+        tb = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+        return materialize(pairs.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
 
     links = confirmed(likely(_stars(buckets)))
     parts = connected_components(links, "a", "b")
-    more = materialize(_open_links(buckets, parts, classes, source, shingle, percent), "links")
+    more = materialize(_open_links(buckets, parts, classes, texts, shingle, percent), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = connected_components(links, "a", "b")
@@ -339,7 +343,7 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def _open_links(buckets, parts, classes, source, shingle: int, percent: int) -> DataFrame:
+def _open_links(buckets, parts, classes, texts, shingle: int, percent: int) -> DataFrame:
     """Links between different components that meet in a bucket."""
     b = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     per = b.groupBy("key", "c").agg(F.count("*").alias("size"))
@@ -348,9 +352,8 @@ def _open_links(buckets, parts, classes, source, shingle: int, percent: int) ->
     tiles = live.groupBy("key").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     dealt = live.join(tiles, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    text = source.select(F.col("id").alias("rep"), F.col("text")).join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"])
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", (F.col("c") != F.col("big")).alias("out"))
-    return dealt.join(text, "rep").groupBy("key", "i", "j").applyInArrow(_tile(shingle, percent), "a long, b long").distinct()
+    return dealt.join(texts.hint("merge"), "rep").groupBy("key", "i", "j").applyInArrow(_tile(shingle, percent), "a long, b long").distinct()
 
 
 def _tile(shingle: int, percent: int):

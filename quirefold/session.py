@@ -43,11 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    Unlike a local checkpoint, the files outlive any executor.
+    Unlike a local checkpoint, the files outlive any executor.  All tables of
+    an application lie in one folder, which may go when the application ends;
+    ``release`` removes a table that is no longer needed before that.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quirefold-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing will read again."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.session import materialize
+from quirefold.session import materialize, release
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, "edges")
+        old, e = e, materialize(small, "edges")
+        release(old)
         now = _signature(e)
         if now == seen:
             break

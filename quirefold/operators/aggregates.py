@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.ordered import running_sum
+
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles at index round-half-even((n - 1) * p) of the sorted values, exactly.
 
-    Values are first counted per (keys, value), so what is ranked is the
-    number of different values; running counts per key locate the index.
+    Values are first counted per (keys, value); two-level running counts
+    locate the index, so no task holds all values of a key.
     """
-    from pyspark.sql import Window
-
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_total": F.sum("_n").over(by)})
+    total = df.groupBy(*keys).agg(F.count("*").alias("_total"))
+    ranked = running_sum(counts, keys, value, "_n", "_upto", width=256).join(total, keys)
     at = lambda p: F.bround((F.col("_total") - 1) * F.lit(p), 0) + 1
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= at(p), F.col(value))).alias(name) for name, p in shares.items()])
 

@@ -25,6 +25,21 @@ def carried(df: DataFrame, keys: list[str], order: str, value: Column, name: str
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row, in two levels.
+
+    Rows are summed per range of ``width`` order values first; the running sum
+    over ranges has few rows, and rows are only sorted within their range, so
+    no task holds a whole key.
+    """
+    part = df.withColumn("_part", F.floor(F.col(order) / width))
+    sums = part.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("_own", own).join(base, [*keys, "_part"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+
+
 def greedy_batches(items: Column, limit: int) -> Column:
     """Batch number of each item of an array of struct(cost, single), in order.
 

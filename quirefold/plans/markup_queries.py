@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import markup
+from quirefold.operators import ordered
 from quirefold.plans.base import CHUNKS, JOBS, Registry, chunks, jobs, literal_rows, values_sql
 from quirefold.session import table
 
@@ -111,11 +112,11 @@ def phones(spark, sf):
 
 @R.add("cropped_documents", "SELECT doc_id, CASE WHEN n <= 3 AND long THEN text ELSE '' END AS text FROM (SELECT doc_id, text, length(text) > 500 AS long, count_if(length(text) > 500) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS n FROM documents)")
 def cropped_documents(spark, sf):
-    """The first three long documents of a book stay; the rest are blank."""
-    long = F.length("text") > 500
-    w = Window.partitionBy("lang", "source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = table(spark, sf, "documents").withColumn("n", F.count_if(long).over(w))
-    return d.select("doc_id", F.when((F.col("n") <= 3) & long, F.col("text")).otherwise("").alias("text"))
+    """The first three long documents of a book stay; the rest are blank.  Only ids are ranked."""
+    d = table(spark, sf, "documents")
+    n = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
+    kept = d.where(F.length("text") > 500).select("lang", "source", "doc_id").withColumn("n", n).where("n <= 3").select("doc_id", F.lit(True).alias("kept"))
+    return d.select("doc_id", "text").join(kept, "doc_id", "left").select("doc_id", F.when(F.col("kept"), F.col("text")).otherwise("").alias("text"))
 
 
 @R.add("job_fields", f"WITH {JOBS} SELECT job_id, printf('%d.%d s', CAST(floor(amount) AS BIGINT) // 1000, CAST(floor(amount) AS BIGINT) // 100 % 10) AS duration, CASE status WHEN 'success' THEN 'Done' WHEN 'failed' THEN 'Failed' ELSE 'Running' END AS label FROM jobs")
@@ -163,9 +164,8 @@ def risky_documents(spark, sf):
 )
 def polish_budget(spark, sf):
     """Risky texts are polished in order until the token budget is spent."""
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     r = table(spark, sf, "documents").where(F.col("text").rlike("|".join(_RISK))).select("lang", "doc_id", F.expr("length(text) div 2").alias("tokens"))
-    return r.withColumn("used", F.sum("tokens").over(w)).where("used - tokens < 20000").select("lang", "doc_id", "used")
+    return ordered.running_sum(r, ["lang"], "doc_id", "tokens", "used").where("used - tokens < 20000").select("lang", "doc_id", "used")
 
 
 @R.add("title_matches", "WITH h AS (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages) SELECT title, min(page_id) AS page_id FROM h WHERE title <> '' GROUP BY title")

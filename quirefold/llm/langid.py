@@ -17,8 +17,8 @@ over the whole text.  Each batch scores its distinct words once.
 Score: the posterior of that language at ``EVIDENCE`` characters at most, so
 that it stays informative on long texts.  Rejection is calibrated on
 ``HOLD_OUT`` of the sample that the models don't see: a text is rejected if
-its cross-entropy lies further above its language's mean than the largest
-standardised excess seen there, widened by half, with a length-aware
+its cross-entropy lies further above its language's mean than twice the
+largest standardised excess seen there (10 at least), with a length-aware
 deviation sqrt(between + within / characters).
 
 Results: null text or a text without letters: ``und`` with score 0, rejected.
@@ -219,7 +219,7 @@ def build(sample: dict[str, list[Counter]]) -> Model | None:
         within = np.average((h - mean) ** 2 * n, weights=1 / n) + 1.0
         between = max(np.average((h - mean) ** 2, weights=n) - within / n.mean(), 0.0) + 0.01
         z = (h - mean) / np.sqrt(between + within / n)
-        stats.append((mean, between, within, max(6.0, 1.5 * z.max())))
+        stats.append((mean, between, within, max(10.0, 2 * z.max())))
     model.mean, model.between, model.within, model.limit = (np.array(x) for x in zip(*stats, strict=True))
     return model
 
@@ -227,8 +227,13 @@ def build(sample: dict[str, list[Counter]]) -> Model | None:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
     """Fit on at most ``per_lang`` labelled documents of each language, whole texts."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    # the cut is found on hashes alone; only the sample's texts are moved
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ends = hashed.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("last"))
+    near = hashed.join(F.broadcast(ends), "lang").where("h <= last")  # a row a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "text", "rank")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,7 +53,7 @@ def powers(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 8 * SLICE:
+        if size <= 2 * SLICE:
             _powers[mult] = have
     return have
 

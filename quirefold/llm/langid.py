@@ -33,18 +33,21 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.arrays import mix, word_slices
+from quirefold.llm.arrays import Words, mix, word_slices
 
 ORDER = 5
-PER_LANG = 500
+PER_LANG = 300
 HOLD_OUT = 0.2
 EVIDENCE = 40
+#: Slices whose distinct words are scored together.
+SLICES = 4
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -253,19 +256,28 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return build({lang: [c for _, c in sorted(d.items())] for lang, d in sample.items()})
 
 
+def _letters_at(slices: list[Words], places: np.ndarray) -> Iterator[str]:
+    """Letters of the words at places of the slices laid end to end."""
+    base = np.concatenate([[0], np.cumsum([len(w.starts) for w in slices])])
+    data = [w.data.tobytes() for w in slices]
+    which = np.searchsorted(base, places, side="right") - 1
+    for k, at in zip(which.tolist(), (places - base[which]).tolist(), strict=True):
+        yield letters_of(data[k][slices[k].starts[at] : slices[k].ends[at]].decode())
+
+
 def _judged(model: Model, column: pa.Array) -> tuple[list, list, list]:
+    """Predictions of a batch; the distinct words of ``SLICES`` slices are scored at once."""
     langs, scores, rejected = [], [], []
-    for words in word_slices(column, 8 << 20):
-        h = words.hashes()
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        data = words.data.tobytes()
-        text = [letters_of(data[a:b].decode()) for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+    slices = word_slices(column)
+    while some_slices := list(islice(slices, SLICES)):
+        _, first, back = np.unique(np.concatenate([w.hashes() for w in some_slices]), return_index=True, return_inverse=True)
+        text = list(_letters_at(some_slices, first))
         lettered = np.array([bool(t) for t in text], bool)
         logs, chars = np.zeros((len(text), len(model.langs))), np.zeros(len(text))
         if lettered.any():
             logs[lettered], chars[lettered] = model.words([t for t in text if t])
-        n = len(words.first) - 1
-        doc = words.doc_of_word()
+        counts = np.concatenate([w.counts for w in some_slices])
+        n, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
         size = np.bincount(doc, weights=chars[back], minlength=n)
         total = np.stack([np.bincount(doc, weights=logs[back, i], minlength=n) for i in range(len(model.langs))], axis=1)
         some = size > 0

@@ -15,7 +15,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     locate the index, so no task holds all values of a key.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = df.groupBy(*keys).agg(F.count("*").alias("_total"))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))  # the counts' exchange is reused
     ranked = running_sum(counts, keys, value, "_n", "_upto", width=256).join(total, keys)
     at = lambda p: F.bround((F.col("_total") - 1) * F.lit(p), 0) + 1
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= at(p), F.col(value))).alias(name) for name, p in shares.items()])

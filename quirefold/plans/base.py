@@ -17,11 +17,14 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.oracle: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None):
+    def add(self, name: str, sql: str | None = None, big: str = ""):
+        """big: columns that the SQL's engine counts in a wider type than BIGINT."""
+
         def register(f: Query) -> Query:
             self.queries[name] = f
             if sql:
-                self.oracle[name] = sql
+                casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in big.split())
+                self.oracle[name] = f"SELECT * REPLACE ({casts}) FROM ({sql}) AS q" if big else sql
             return f
 
         return register

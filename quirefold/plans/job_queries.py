@@ -14,13 +14,13 @@ R = Registry()
 _LONG = lambda c: F.coalesce(c, F.lit(0)).cast("long")
 
 
-@R.add("job_status_counts", f"WITH {CHUNKS} SELECT job_id, count(*) AS total, count_if(status = 'translated') AS translated, count_if(status = 'cached') AS cached, count_if(status = 'failed') AS failed FROM chunks GROUP BY job_id")
+@R.add("job_status_counts", f"WITH {CHUNKS} SELECT job_id, count(*) AS total, count_if(status = 'translated') AS translated, count_if(status = 'cached') AS cached, count_if(status = 'failed') AS failed FROM chunks GROUP BY job_id", big="translated cached failed")
 def job_status_counts(spark, sf):
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
     return chunks(spark, sf).groupBy("job_id").agg(F.count("*").alias("total"), of("translated"), of("cached"), of("failed"))
 
 
-@R.add("chapter_status", f"WITH {CHUNKS} SELECT job_id, chapter_id, count(*) AS chunk_total, count_if(status = 'failed') AS chunk_failed, CASE WHEN count_if(status = 'failed') = 0 THEN 'success' WHEN count_if(status <> 'failed') = 0 THEN 'failed' ELSE 'partial' END AS status FROM chunks GROUP BY job_id, chapter_id")
+@R.add("chapter_status", f"WITH {CHUNKS} SELECT job_id, chapter_id, count(*) AS chunk_total, count_if(status = 'failed') AS chunk_failed, CASE WHEN count_if(status = 'failed') = 0 THEN 'success' WHEN count_if(status <> 'failed') = 0 THEN 'failed' ELSE 'partial' END AS status FROM chunks GROUP BY job_id, chapter_id", big="chunk_failed")
 def chapter_status(spark, sf):
     failed = F.count_if(F.col("status") == "failed")
     status = F.when(failed == 0, "success").when(failed == F.count("*"), "failed").otherwise("partial")
@@ -135,8 +135,7 @@ def event_quota(spark, sf):
 @R.add(
     "batch_rollup",
     f"""WITH {JOBS} SELECT batch_id, count(*) AS total, count_if(status = 'success') AS completed, count_if(status = 'failed') AS failed, CAST(round_even(100.0 * count_if(status IN ('success', 'failed')) / count(*), 0) AS BIGINT) AS progress,
-  CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'success') THEN 'completed' WHEN bool_or(status = 'success') AND bool_or(status = 'failed') THEN 'partial_completed' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'running' END AS status FROM jobs GROUP BY batch_id""",
-)
+  CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'success') THEN 'completed' WHEN bool_or(status = 'success') AND bool_or(status = 'failed') THEN 'partial_completed' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'running' END AS status FROM jobs GROUP BY batch_id""", big="completed failed")
 def batch_rollup(spark, sf):
     s = F.col("status")
     done = F.count_if(s.isin("success", "failed"))
@@ -159,7 +158,7 @@ def qa_reports(spark, sf):
     return s.select("job_id", r.alias("r")).select("job_id", "r.score", "r.status", "r.retryable")
 
 
-@R.add("delivery_gate", f"WITH {CHUNKS} SELECT chapter_id, count(*) AS total, count_if(status = 'failed') AS failed FROM chunks GROUP BY chapter_id HAVING count_if(status = 'failed') > 20 AND count_if(status = 'failed') / count(*) > 0.02")
+@R.add("delivery_gate", f"WITH {CHUNKS} SELECT chapter_id, count(*) AS total, count_if(status = 'failed') AS failed FROM chunks GROUP BY chapter_id HAVING count_if(status = 'failed') > 20 AND count_if(status = 'failed') / count(*) > 0.02", big="failed")
 def delivery_gate(spark, sf):
     c = chunks(spark, sf).groupBy("chapter_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("failed"))
     return c.where((F.col("failed") > 20) & (F.col("failed") / F.col("total") > 0.02))

@@ -229,7 +229,7 @@ def audit_examples(spark, sf):
     return chunks(spark, sf).where(F.size("flags") > 0).withColumn("n", F.row_number().over(w)).where("n <= 20").select("chapter_id", "job_id", "sequence")
 
 
-@R.add("final_stats", f"WITH {CHUNKS} SELECT job_id, count(*) - count_if(status = 'failed') - count_if(status = 'cached') AS translated, CAST(sum(retry_count) AS BIGINT) AS retries FROM chunks GROUP BY job_id")
+@R.add("final_stats", f"WITH {CHUNKS} SELECT job_id, count(*) - count_if(status = 'failed') - count_if(status = 'cached') AS translated, CAST(sum(retry_count) AS BIGINT) AS retries FROM chunks GROUP BY job_id", big="translated")
 def final_stats(spark, sf):
     off = F.count_if(F.col("status") == "failed") + F.count_if(F.col("status") == "cached")
     return chunks(spark, sf).groupBy("job_id").agg((F.count("*") - off).alias("translated"), F.sum("retry_count").alias("retries"))

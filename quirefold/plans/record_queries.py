@@ -40,7 +40,7 @@ def toc_entries(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.coalesce(some(get("(?is)<h1[^>]*>(.*?)</h1>")), some(get("(?is)<h2[^>]*>(.*?)</h2>")), get("(?is)<title>(.*?)</title>")).alias("entry"))
 
 
-@R.add("reduced_chapters", f"WITH {CHUNKS}, r AS (SELECT job_id, chapter_id, array_to_string(list(status ORDER BY sequence, status), ' ') AS content FROM chunks GROUP BY job_id, chapter_id), i AS (SELECT o_orderkey AS job_id, unnest([0, 1, 2]) AS chapter_id FROM orders) SELECT i.job_id, i.chapter_id, coalesce(r.content, 'original') AS content FROM i LEFT JOIN r USING (job_id, chapter_id)")
+@R.add("reduced_chapters", f"WITH {CHUNKS}, r AS (SELECT job_id, chapter_id, array_to_string(list(status ORDER BY sequence, status), ' ') AS content FROM chunks GROUP BY job_id, chapter_id), i AS (SELECT o_orderkey AS job_id, unnest([0, 1, 2]) AS chapter_id FROM orders) SELECT i.job_id, i.chapter_id, coalesce(r.content, 'original') AS content FROM i LEFT JOIN r USING (job_id, chapter_id)", big="chapter_id")
 def reduced_chapters(spark, sf):
     """Chapters put together again from their chunks in order; items without chunks keep their content."""
     c = chunks(spark, sf).groupBy("job_id", "chapter_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "status"))).alias("x"))
@@ -60,7 +60,7 @@ def visible_chars(spark, sf):
     return table(spark, sf, "pages").agg(F.sum(F.length(text.squeeze(F.regexp_replace("html", "<[^>]+>", " ")))).alias("chars"))
 
 
-@R.add("issue_tally", f"WITH {CHUNKS} SELECT count(*) AS total, count_if(retry_count < 2) AS fixable, count_if(retry_count >= 2) AS unfixable FROM chunks WHERE status = 'failed'")
+@R.add("issue_tally", f"WITH {CHUNKS} SELECT count(*) AS total, count_if(retry_count < 2) AS fixable, count_if(retry_count >= 2) AS unfixable FROM chunks WHERE status = 'failed'", big="fixable unfixable")
 def issue_tally(spark, sf):
     c = chunks(spark, sf).where("status = 'failed'")
     return c.agg(F.count("*").alias("total"), F.count_if(F.col("retry_count") < 2).alias("fixable"), F.count_if(F.col("retry_count") >= 2).alias("unfixable"))
@@ -150,7 +150,7 @@ def term_positions(spark, sf):
 _TIMES = [(1, "2024-01-02T03:04:05Z"), (2, "2024-01-02T03:04:05+02:00"), (3, "no time"), (4, None)]
 
 
-@R.add("iso_times", f"SELECT id, CASE id WHEN 1 THEN 1704164645 WHEN 2 THEN 1704157445 END AS epoch FROM {values_sql([(i,) for i, _ in _TIMES], 'id')}")
+@R.add("iso_times", f"SELECT id, CASE id WHEN 1 THEN 1704164645 WHEN 2 THEN 1704157445 END AS epoch FROM {values_sql([(i,) for i, _ in _TIMES], 'id')}", big="epoch")
 def iso_times(spark, sf):
     return literal_rows(spark, _TIMES, "id int, t string").select("id", F.unix_seconds(F.try_to_timestamp("t")).alias("epoch"))
 

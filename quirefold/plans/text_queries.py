@@ -35,8 +35,7 @@ def chunk_lines(spark, sf):
 @R.add(
     "manifest",
     rf"""WITH {LINES} SELECT doc_id, lang, count(*) AS n_chunks, sum(length(line)) AS n_chars, sum(len(regexp_extract_all(line, '\S+'))) AS n_words
-FROM lines WHERE trim(line) <> '' GROUP BY doc_id, lang""",
-)
+FROM lines WHERE trim(line) <> '' GROUP BY doc_id, lang""", big="n_chars n_words")
 def manifest(spark, sf):
     """Manifest of a document: its chunks, characters and words, computed in the row."""
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
@@ -261,8 +260,7 @@ def residual_categories(spark, sf):
 @R.add(
     "artifact_audit",
     rf"""WITH {LINES}, n AS (SELECT doc_id, len(regexp_extract_all(line, '[A-Za-z][A-Za-z''\-]{{2,}}')) AS w, len(regexp_extract_all(line, '[A-Za-z]')) AS l FROM lines WHERE trim(line) <> '')
-SELECT doc_id, count(*) AS checked, count_if(w >= 10 AND l >= 80) AS residual, CASE WHEN count_if(w >= 10 AND l >= 80) > 0 THEN 'failed' ELSE 'passed' END AS status FROM n GROUP BY doc_id""",
-)
+SELECT doc_id, count(*) AS checked, count_if(w >= 10 AND l >= 80) AS residual, CASE WHEN count_if(w >= 10 AND l >= 80) > 0 THEN 'failed' ELSE 'passed' END AS status FROM n GROUP BY doc_id""", big="residual")
 def artifact_audit(spark, sf):
     """Per document: blocks checked, and blocks still in the source language."""
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
@@ -329,12 +327,12 @@ candidates AS (SELECT term, "count", initial, CAST(CASE WHEN honorific THEN 0.9
   WHERE "count" >= 2 AND term NOT IN ({_BLOCK}) AND (initial < "count" OR honorific) AND length(term) BETWEEN 2 AND 60)"""
 
 
-@R.add("term_candidates", f"WITH {_CANDIDATES} SELECT * FROM candidates")
+@R.add("term_candidates", f"WITH {_CANDIDATES} SELECT * FROM candidates", big="count initial")
 def term_candidate_counts(spark, sf):
     return term_candidates(table(spark, sf, "documents"))
 
 
-@R.add("top_candidates", f'WITH {_CANDIDATES} SELECT term, "count", confidence FROM candidates ORDER BY confidence DESC, "count" DESC, term LIMIT 200')
+@R.add("top_candidates", f'WITH {_CANDIDATES} SELECT term, "count", confidence FROM candidates ORDER BY confidence DESC, "count" DESC, term LIMIT 200', big="count")
 def top_candidates(spark, sf):
     return term_candidates(table(spark, sf, "documents")).orderBy(F.desc("confidence"), F.desc("count"), "term").limit(200).select("term", "count", "confidence")
 

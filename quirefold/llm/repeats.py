@@ -83,13 +83,22 @@ def _anchors(text_col: str, window: int, gram: int) -> Callable[[pa.Table], pa.T
                 found.append(s.anchor[new])
         keys, n = _grouped(np.concatenate(found) if found else np.zeros(0, np.uint64))
         block = table[BLOCK][0].as_py() if len(table) else 0
-        return pa.table({"key": keys.view(np.int64), "n": n, "block": np.full(len(keys), block, np.int32)})
+        return pa.table({"key": keys.view(np.int64), "rest": packed(np.zeros(len(keys), np.int64), block, n)})
 
     return run
 
 
+def packed(b: np.ndarray, block: int, n: np.ndarray) -> np.ndarray:
+    """One number of a window's second hash (32 bits), its block (24 bits) and once or more (2 bits): narrow rows."""
+    return b << 26 | np.int64(block) << 2 | n.astype(np.int64)
+
+
+def _block_of(rest: np.ndarray) -> np.ndarray:
+    return (rest >> 2 & 0xFFFFFF).astype(np.int32)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by their key columns (all before ``n``), those whose key counts to 2 or more.
+    """From rows sorted by key and second hash, those of keys that count to 2 or more.
 
     Streams: one open key is carried from batch to batch, and of its rows only
     the first one while it stands alone.
@@ -99,24 +108,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = batch.schema.names
-        cut = names.index("n")
-        cols = [batch.column(i).to_numpy() for i in range(cut)]
-        n = batch.column(cut).to_numpy()
+        rest = batch.column(1).to_numpy()
+        cols, n = [batch.column(0).to_numpy(), rest >> 26], rest & 3
         edge = np.zeros(batch.num_rows, bool)
         edge[0] = True
         for c in cols:
             edge[1:] |= c[1:] != c[:-1]
         heads = np.flatnonzero(edge)
-        total = np.add.reduceat(n.astype(np.int64), heads)
+        total = np.add.reduceat(n, heads)
         joins = last is not None and tuple(c[0] for c in cols) == last
         if joins:
             total[0] += 1  # whatever came before counts
             if held is not None:
                 yield held
-                held = None
-        elif held is not None:
-            held = None
+        held = None
         size = np.diff(np.append(heads, batch.num_rows))
         keep = np.repeat(total >= 2, size)
         last = tuple(c[-1] for c in cols)
@@ -126,20 +131,26 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(keep))
 
 
-def _sorted_repeats(rows: DataFrame, keys: list[str], n: int, order: list[str] | None = None) -> DataFrame:
-    names = [*keys, "n", *[c for c in rows.columns if c not in (*keys, "n")]]
-    rows = rows.select(*names)
-    return rows.repartition(n, keys[0]).sortWithinPartitions(*(order or keys)).mapInArrow(_repeated, rows.schema)
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated keys, each to its block."""
+    for batch in _repeated(batches):
+        rest = batch.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest >> 26), pa.array(_block_of(rest))], names=["a", "b", BLOCK])
+
+
+def _sorted_repeats(rows: DataFrame, n: int) -> DataFrame:
+    key = rows.columns[0]
+    return rows.repartition(n, key).sortWithinPartitions(key, "rest").mapInArrow(_met_again, f"a long, b long, {BLOCK} int")
 
 
 def _candidates(text_col: str, id_col: str, window: int, gram: int, places: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int8), "block": np.zeros(0, np.int32)}
+        empty = {"a": np.zeros(0, np.int64), "rest": np.zeros(0, np.int64)}
         if places:
             empty |= {"doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64)}
         if not len(left) or not len(right):
             return pa.table(empty)
-        wanted = np.sort(right["key"].to_numpy().view(np.uint64))
+        wanted = np.sort(right["a"].to_numpy().view(np.uint64))
         ids = left[id_col].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy() if places else None
         a, b, doc, pos = [], [], [], []
         for words in word_slices(left[text_col]):
@@ -172,7 +183,7 @@ def _candidates(text_col: str, id_col: str, window: int, gram: int, places: bool
         head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         at = np.flatnonzero(head)
         n = np.minimum(np.diff(np.append(at, len(x))), 2).astype(np.int8)
-        out = {"a": x[at].view(np.int64), "b": y[at], "n": n, "block": np.full(len(at), block, np.int32)}
+        out = {"a": x[at].view(np.int64), "rest": packed(y[at], block, n)}
         if places:
             out |= {"doc": d[at], "pos": p[at]}
         return pa.table(out)
@@ -225,21 +236,21 @@ def repeated_windows(
     stays; otherwise every place of a repeated window goes.  Null texts stay
     null, with no words.
     """
-    n = blocks or shuffle_partitions(docs.sparkSession)
+    n = min(blocks or shuffle_partitions(docs.sparkSession), 1 << 24)
     docs = docs.drop("n_words", "spans", BLOCK)
     x = dealt(docs, id_col, text_col, n)
-    anchors = x.groupBy(BLOCK).applyInArrow(_anchors(text_col, window, gram), "key long, n byte, block int")
-    anchors = _sorted_repeats(anchors, ["key"], n).select("key", F.col("block").alias(BLOCK))
+    anchors = x.groupBy(BLOCK).applyInArrow(_anchors(text_col, window, gram), "key long, rest long")
+    anchors = _sorted_repeats(anchors, n).select("a", BLOCK)
     place = ", doc long, pos long" if keep_first else ""
     cand = (
         x.groupBy(BLOCK)
         .cogroup(anchors.groupBy(BLOCK))
-        .applyInArrow(_candidates(text_col, id_col, window, gram, keep_first), f"a long, b long, n byte, block int{place}")
+        .applyInArrow(_candidates(text_col, id_col, window, gram, keep_first), f"a long, rest long{place}")
     )
     if keep_first:
-        hits = _first_places(cand, n).withColumnRenamed("block", BLOCK)
+        hits = _first_places(cand, n)
     else:
-        hits = _sorted_repeats(cand, ["a", "b"], n).select("a", "b", F.col("block").alias(BLOCK))
+        hits = _sorted_repeats(cand, n)
     schema = T.StructType([*x.drop(BLOCK).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
     return x.groupBy(BLOCK).cogroup(hits.groupBy(BLOCK)).applyInArrow(
         _mark(id_col, text_col, window, gram, rewrite, keep_first, schema), schema
@@ -252,7 +263,8 @@ def _first_places(cand: DataFrame, n: int) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev: tuple | None = None
         for batch in _repeated(batches):
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            a, rest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            b = rest >> 26
             head = np.ones(len(a), bool)
             head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             if prev is not None and (a[0], b[0]) == prev:
@@ -260,15 +272,14 @@ def _first_places(cand: DataFrame, n: int) -> DataFrame:
             prev = (a[-1], b[-1])
             doc, pos = (np.where(head, batch.column(c).to_numpy(), 0) for c in ("doc", "pos"))  # of no use elsewhere
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), batch.column("block"), pa.array(doc), pa.array(pos), pa.array(head)],
-                names=["a", "b", "block", "doc", "pos", "first"],
+                [batch.column(0), pa.array(b), pa.array(_block_of(rest)), pa.array(doc), pa.array(pos), pa.array(head)],
+                names=["a", "b", BLOCK, "doc", "pos", "first"],
             )
 
-    rows = cand.select("a", "b", "n", "block", "doc", "pos")
     return (
-        rows.repartition(n, "a")
-        .sortWithinPartitions("a", "b", "doc", "pos")
-        .mapInArrow(mark, "a long, b long, block int, doc long, pos long, first boolean")
+        cand.repartition(n, "a")
+        .sortWithinPartitions("a", F.shiftright("rest", 26), "doc", "pos")
+        .mapInArrow(mark, f"a long, b long, {BLOCK} int, doc long, pos long, first boolean")
     )
 
 

@@ -4,7 +4,8 @@
 2. Pivots are k-means centres of a bounded sample (``SAMPLE`` vectors a
    pivot, ``MAX_PIVOTS`` at most).  A vector is stored in the shards of its
    ``STORED`` nearest pivots, so shards overlap; shards of more than ``SHARD``
-   vectors are split by hash, so no task holds an unbounded group.
+   vectors, and their queries beyond ``QUERIES``, are split by hash, so no
+   task holds an unbounded group.
 3. Each shard builds a flat graph: every vector's nearest neighbours, pruned
    robustly (a neighbour goes if a nearer kept one is closer to it by the
    factor ``ALPHA``), ``DEGREE`` at most.
@@ -42,8 +43,10 @@ from quirefold.session import materialize
 
 SAMPLE, MAX_PIVOTS, SHARD = 16, 4096, 2000
 STORED, VISITED = 2, 4
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
+CANDIDATES, DEGREE, ALPHA, BEAM, EXPAND = 48, 16, 1.2, 8, 16
 AUDIT, RECALL = 64, 0.98
+#: Queries that search a shard's part in one task.
+QUERIES = 20_000
 PIECE = 256
 
 
@@ -116,13 +119,20 @@ def search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, own: np.ndarray, medoi
             at = w.argmax(axis=1)
             best = w[np.arange(len(active)), at]
             go = np.isfinite(best) & ((best >= least) | (best >= beam[active, 0]))
-            active, at = active[go], at[go]
-            if not len(active):
+            if not go.any():
                 break
-            open_[active, at] = False
-            near = adj[at]
+            # the best open node of each query, or up to EXPAND of those within range
+            near_q, near_x = np.nonzero(w >= least)
+            within = np.arange(len(near_q)) - np.searchsorted(near_q, near_q)
+            near_q, near_x = near_q[within < EXPAND], near_x[within < EXPAND]
+            far = go & (best < least)
+            from_q, from_x = np.concatenate([near_q, np.flatnonzero(far)]), np.concatenate([near_x, at[far]])
+            open_[active[from_q], from_x] = False
+            near = adj[from_x]
             r, c = np.nonzero(near >= 0)
-            qi, node = active[r], near[r, c]
+            pair = np.unique(active[from_q[r]] * len(x) + near[r, c])
+            qi, node = pair // len(x), pair % len(x)
+            active = active[go]
             new = ~np.isfinite(sim[qi, node])
             qi, node = qi[new], node[new]
             if not len(qi):
@@ -131,15 +141,9 @@ def search(x: np.ndarray, adj: np.ndarray, q: np.ndarray, own: np.ndarray, medoi
             sim[qi, node] = s
             open_[qi, node] = True
             # the beam keeps the BEAM best of each query
-            wide = np.full((len(active), adj.shape[1]), -np.inf)
-            place = np.full(n, -1)
-            place[active] = np.arange(len(active))
-            col = np.zeros(len(qi), np.int64)
-            head = np.ones(len(qi), bool)
-            head[1:] = qi[1:] != qi[:-1]
-            begin = np.flatnonzero(head)
-            col = np.arange(len(qi)) - np.repeat(begin, np.diff(np.append(begin, len(qi))))
-            wide[place[qi], col] = s
+            col = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            wide = np.full((len(active), int(col.max()) + 1), -np.inf)
+            wide[np.searchsorted(active, qi), col] = s
             both = np.concatenate([beam[active], wide], axis=1)
             both.sort(axis=1)
             beam[active] = both[:, -BEAM:]
@@ -199,11 +203,14 @@ def _links(classes: DataFrame, pivots: np.ndarray, least: float, stored: int, vi
     # a list holds the degree of each shard and its reverse edges there; shards are bounded, so lists are
     lists = edges.groupBy("id").agg(F.collect_set("to").alias("adj"))
     full = data.join(lists, "id", "left").select("shard", "part", "id", "v", "weight", "near", "adj")
+    asked = placed.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("near").alias("qnear"), F.explode("near").alias("qshard"))
+    tiles = asked.groupBy("qshard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("h"))
+    full = full.join(tiles.withColumnRenamed("qshard", "shard"), "shard").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).drop("h")
     asked = (
-        placed.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("near").alias("qnear"), F.explode("near").alias("qshard"))
-        .join(parts.withColumnRenamed("shard", "qshard"), "qshard")
-        .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .drop("g")
+        asked.join(parts.withColumnRenamed("shard", "qshard"), "qshard")
+        .join(tiles, "qshard")
+        .withColumns({"qtile": F.pmod(F.xxhash64("qid"), F.col("h")).cast("int"), "qpart": F.explode(F.sequence(F.lit(0), F.col("g") - 1))})
+        .drop("g", "h")
     )
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,7 +245,7 @@ def _links(classes: DataFrame, pivots: np.ndarray, least: float, stored: int, vi
         moved = np.flatnonzero(root != np.arange(len(nodes)))
         return pa.table({"id": np.concatenate([qid, nodes[moved]]), "n": np.concatenate([n, np.zeros(len(moved), np.int64)]), "root": np.concatenate([qid, nodes[root[moved]]])})
 
-    return asked.groupBy("qshard", "qpart").cogroup(full.groupBy("shard", "part")).applyInArrow(find, "id long, n long, root long")
+    return asked.groupBy("qshard", "qpart", "qtile").cogroup(full.groupBy("shard", "part", "tile")).applyInArrow(find, "id long, n long, root long")
 
 
 def audit(classes: DataFrame, counts: DataFrame, least: float, size: int = AUDIT) -> float:

@@ -38,7 +38,7 @@ from quirefold.session import materialize, shuffle_partitions
 
 PIVOTS = 64
 #: Queries in a group and vectors in a block.
-GROUP, BLOCK_ROWS = 1024, 8192
+GROUP, BLOCK_ROWS = 4096, 32768
 _SLACK = 1e-6
 
 
@@ -144,9 +144,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             q, x, qid, xid = matrix(left["qv"]), matrix(right["v"]), left["qid"].to_numpy(), right["id"].to_numpy()
             order = np.argsort(xid, kind="stable")
             x, xid = x[order], xid[order]
-            for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ x.T
-                s[qid[a : a + 256][:, None] == xid[None, :]] = -np.inf
+            for a in range(0, len(q), 64):
+                s = q[a : a + 64] @ x.T
+                s[qid[a : a + 64][:, None] == xid[None, :]] = -np.inf
                 m = min(k, s.shape[1])
                 edge = -np.partition(-s, m - 1, axis=1)[:, [m - 1]]
                 for i in range(len(s)):

@@ -38,6 +38,7 @@ def brute(rows, least=0.9):
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD", 80)
+    monkeypatch.setattr(vector_graph, "QUERIES", 50)
     rnd = np.random.default_rng(1)
     rows = []
     for g in range(40):

@@ -1,9 +1,9 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-For each language a bounded sample of labelled documents (``PER_LANG``, the
-least by a hash of id and text) is counted into character n-grams of its
-lower-cased words, up to ``ORDER`` characters, with a blank before and after
-each word.  Kneser-Ney: the longest grams (and those that begin a word) keep
+For each language a bounded sample of labelled texts (``PER_LANG`` different
+ones, the least by a hash of the text; copies count once) is counted into
+character n-grams of its lower-cased words, up to ``ORDER`` characters, with a
+blank before and after each word.  Kneser-Ney: the longest grams (and those that begin a word) keep
 raw counts, shorter ones count the different characters before them; absolute
 discounts n1 / (n1 + 2 n2) per order; every order is interpolated with the
 next shorter one, the shortest with a uniform distribution.  The grams of all
@@ -16,10 +16,11 @@ over the whole text.  Each batch scores its distinct words once.
 
 Score: the posterior of that language at ``EVIDENCE`` characters at most, so
 that it stays informative on long texts.  Rejection is calibrated on
-``HOLD_OUT`` of the sample that the models don't see: a text is rejected if
-its cross-entropy lies further above its language's mean than twice the
-largest standardised excess seen there (10 at least), with a length-aware
-deviation sqrt(between + within / characters).
+``HOLD_OUT`` of the sample, texts that the models don't see: a text is
+rejected if its cross-entropy lies further above its language's mean than
+twice the ``QUANTILE`` of the standardised excesses seen there (10 at least),
+with a length-aware deviation sqrt(between + within / characters).  A language
+with one text has nothing to hold out and rejects nothing.
 
 Results: null text or a text without letters: ``und`` with score 0, rejected.
 Nothing to learn from: every text is ``und``.  Labels, sources and ids are
@@ -45,6 +46,7 @@ from quirefold.llm.arrays import Words, mix, word_slices
 ORDER = 5
 PER_LANG = 300
 HOLD_OUT = 0.2
+QUANTILE = 0.95
 EVIDENCE = 40
 #: Slices whose distinct words are scored together.
 SLICES = 4
@@ -189,8 +191,8 @@ def build(sample: dict[str, list[Counter]]) -> Model | None:
     fit, held = {}, {}
     for lang in langs:
         docs = [d for d in sample[lang] if d]
-        n = max(1, round(len(docs) * (1 - HOLD_OUT)))
-        fit[lang], held[lang] = docs[:n], docs[n:] or docs
+        n = max(1, min(round(len(docs) * (1 - HOLD_OUT)), len(docs) - 1))
+        fit[lang], held[lang] = docs[:n], docs[n:]
     counts = {lang: grams(sum(fit[lang], Counter())) for lang in langs}
     alphabet = len({c for g in counts.values() for x in g for c in x}) + 1
     models = [KneserNey(counts[lang], alphabet) for lang in langs]
@@ -217,26 +219,28 @@ def build(sample: dict[str, list[Counter]]) -> Model | None:
             times = np.array(list(words.values()))
             n.append(float((chars * times).sum()))
             h.append(-float((logs[:, i] * times).sum()) / n[-1])
+        if not h:
+            stats.append((0.0, 1.0, 1.0, np.inf))
+            continue
         h, n = np.array(h), np.array(n)
         mean = np.average(h, weights=np.minimum(n, 2000))
         within = np.average((h - mean) ** 2 * n, weights=1 / n) + 1.0
         between = max(np.average((h - mean) ** 2, weights=n) - within / n.mean(), 0.0) + 0.01
         z = (h - mean) / np.sqrt(between + within / n)
-        stats.append((mean, between, within, max(10.0, 2 * z.max())))
+        stats.append((mean, between, within, max(10.0, 2 * np.quantile(z, QUANTILE))))
     model.mean, model.between, model.within, model.limit = (np.array(x) for x in zip(*stats, strict=True))
     return model
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
-    """Fit on at most ``per_lang`` labelled documents of each language, whole texts."""
+    """Fit on at most ``per_lang`` different labelled texts of each language, whole texts."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # the cut is found on hashes alone; only the sample's texts are moved
+    # the cut is found on hashes alone, one for all copies of a text; only the sample's texts are moved
     hashed = rows.withColumn("h", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ends = hashed.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("last"))
+    ends = hashed.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("last"))
     near = hashed.join(F.broadcast(ends), "lang").where("h <= last")  # a row a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "text", "rank")
+    rows = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("rank", rank).select("lang", "text", "rank")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quirefold.llm.langid import KneserNey, build, grams, identify, learn
 
@@ -60,3 +61,26 @@ def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in identify(docs, learn(docs)).collect()] == ["und"]
     empty = docs.where("doc_id > 1")
     assert identify(empty, learn(empty)).count() == 0
+
+
+def test_copies_count_once(spark):
+    rnd = random.Random(4)
+    rows = [(text(rnd, lang, 60), lang) for lang in SOUNDS for _ in range(40)]
+    plain = spark.createDataFrame(rows, "text string, lang string")
+    least = plain.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    copied = plain.unionByName(least.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("n"))
+    a, b = learn(plain, per_lang=30), learn(copied, per_lang=30)
+    assert [len(k) for k in a.gram_keys] == [len(k) for k in b.gram_keys]
+    for name in ("mean", "between", "within", "limit"):
+        assert np.allclose(getattr(a, name), getattr(b, name))
+
+
+def test_hold_out_is_unseen_and_one_outlier_does_not_open_the_gate():
+    rnd = random.Random(5)
+    docs = {lang: [Counter(text(rnd, lang, 80).split()) for _ in range(100)] for lang in SOUNDS}
+    clean = build(docs).limit
+    spoiled = {**docs, "aa": [*docs["aa"][:-1], Counter({"ღმერთიაქვს": 400, "წყალიარის": 300})]}
+    assert build(spoiled).limit[0] <= 2 * clean[0]
+    two = build({lang: d[:2] for lang, d in docs.items()})
+    assert two.gram_keys[5].tolist() == build({lang: d[:1] for lang, d in docs.items()}).gram_keys[5].tolist()
+    assert not np.isfinite(build({"aa": docs["aa"][:1]}).limit).any()

@@ -18,9 +18,13 @@
    is verified where it is found.  A pair that two shards could report counts
    in one of them.  Tasks return a count a query and one edge a node towards
    its least id there: linear, however many pairs a group has.
-6. A sample of ``AUDIT`` vectors is searched exactly against all rows; if
-   recall is below ``RECALL``, overlap and visits double and the graph is
-   built again.
+6. Blocks of vectors (``AUDIT``, then more, ``MOST`` in all) are searched
+   exactly against all rows until linked vectors of ``GROUPS`` groups are
+   among them.  Recall is taken by link, by vector and by group, without
+   links to copies; if the least of them is below ``RECALL``, overlap and
+   visits double and the graph is built again.  Where too few groups were
+   met to decide, they double as well, and the narrower build is held
+   against the wider one over all vectors.
 
 Results: vectors that are null, empty, zero, of another length than the most
 common one, or hold a null or non-finite component link with nothing.  Rows
@@ -45,6 +49,7 @@ SAMPLE, MAX_PIVOTS, SHARD = 16, 4096, 2000
 STORED, VISITED = 2, 4
 CANDIDATES, DEGREE, ALPHA, BEAM, EXPAND = 48, 16, 1.2, 8, 16
 AUDIT, RECALL = 64, 0.98
+GROUPS, MOST = 32, 2048
 #: Queries that search a shard's part in one task.
 QUERIES = 20_000
 PIECE = 256
@@ -248,24 +253,65 @@ def _links(classes: DataFrame, pivots: np.ndarray, least: float, stored: int, vi
     return asked.groupBy("qshard", "qpart", "qtile").cogroup(full.groupBy("shard", "part", "tile")).applyInArrow(find, "id long, n long, root long")
 
 
-def audit(classes: DataFrame, counts: DataFrame, least: float, size: int = AUDIT) -> float:
-    """Recall of the counted links of ``size`` vectors against an exact search over all rows."""
-    sample = classes.orderBy(F.xxhash64("id")).limit(size).toArrow()
-    if not len(sample):
+def audit(classes: DataFrame, counts: DataFrame, least: float, size: int = AUDIT) -> float | None:
+    """Recall of the counted links against an exact search over all rows: the least of those by link, vector and group.
+
+    None: too few linked groups among ``MOST`` vectors to tell.
+    """
+    drawn = classes.withColumn("h", F.xxhash64("id")).orderBy("h").limit(MOST).join(counts, "id").toArrow().sort_by("h")
+    if not len(drawn):
         return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), unit(matrix(sample["v"]))))
+    q, own, n = unit(matrix(drawn["v"])), drawn["weight"].to_numpy(), drawn["n"].to_numpy()
+    true, low, done = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), 0
+    while done < len(q):
+        stop = min(len(q), max(size, 4 * done))
+        true[done:stop], low[done:stop] = _exact(classes, q[done:stop], least)
+        done = stop
+        linked = np.flatnonzero(true[:done] > own[:done])
+        # groups: drawn vectors that link, or share their least link
+        a, b = np.nonzero(q[linked] @ q[linked].T >= least)
+        _, first, back = np.unique(low[linked], return_index=True, return_inverse=True)
+        rows = np.arange(len(linked))
+        root = local_roots(len(linked), np.concatenate([a, rows]), np.concatenate([b, first[back]]))
+        if len(np.unique(root)) >= GROUPS:
+            break
+    else:
+        if len(q) == MOST:
+            return None
+    if not len(linked):
+        return 1.0
+    links = (true - own)[linked]
+    share = np.maximum(np.minimum(n, true) - own, 0)[linked] / links
+    size_of = np.bincount(root)[root]
+    return min(np.average(share, weights=w) for w in (links, np.ones(len(links)), 1 / size_of))
+
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        total = np.zeros(len(ids), np.int64)
+def _exact(classes: DataFrame, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector of ``q``: rows within the threshold, and the least id there."""
+    shared = classes.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        total, low = np.zeros(len(q), np.int64), np.full(len(q), np.iinfo(np.int64).max)
         for batch in batches:
-            if batch.num_rows:
-                total += ((q @ unit(matrix(batch.column("v"))).T >= least) * batch.column("weight").to_numpy()).sum(axis=1).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "true"])
+            for part in (batch.slice(i, PIECE) for i in range(0, batch.num_rows, PIECE)):
+                i, j = np.nonzero(q @ unit(matrix(part.column("v"))).T >= least)
+                np.add.at(total, i, part.column("weight").to_numpy()[j])
+                np.minimum.at(low, i, part.column("id").to_numpy()[j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(total), pa.array(low)], names=["at", "true", "low"])
+
+    found = classes.mapInArrow(run, "at long, true long, low long").groupBy("at").agg(F.sum("true").alias("true"), F.min("low").alias("low")).toArrow().sort_by("at")
+    return found["true"].to_numpy(), found["low"].to_numpy()
 
-    true = classes.mapInArrow(exact, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = true.join(counts, "id").agg(F.sum(F.least("n", "true") - 1), F.sum(F.col("true") - 1)).first()
-    return row[0] / row[1] if row[1] else 1.0
+
+def agreement(classes: DataFrame, narrow: DataFrame, wide: DataFrame) -> float:
+    """Share of the wide build's links that the narrow one has: the least of those by link, vector and group."""
+    both = classes.select("id", "weight").join(narrow.withColumnRenamed("n", "m"), "id").join(wide, "id")
+    links = F.col("n") - F.col("weight")
+    share = F.greatest(F.least("m", "n") - F.col("weight"), F.lit(0)) / links
+    by = [links, F.lit(1.0), 1 / (links + 1)]  # a group's members have about as many links as it has members
+    row = both.where(links > 0).agg(*[F.sum(share * w) / F.sum(w) for w in by]).first()
+    return min((x for x in row if x is not None), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -279,12 +325,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     k = min(MAX_PIVOTS, max(1, -(-n // (SHARD // 4))))
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE * k).select("v").toArrow()
     pivots = centres(unit(matrix(sample["v"])), min(k, len(sample)))
-    stored, visited = STORED, VISITED
+    stored, visited, narrow = STORED, VISITED, None
     while True:
         found = materialize(_links(classes, pivots, least, stored, visited), "links")
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        if visited >= len(pivots) or audit(classes, counts, least) >= RECALL:
+        if visited >= len(pivots):
+            break
+        recall = audit(classes, counts, least)
+        if recall is None and narrow is not None:
+            recall = agreement(classes, narrow, counts)
+        if recall is not None and recall >= RECALL:
             break
+        narrow = counts
         stored, visited = 2 * stored, 2 * visited
     parts = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
     named = classes.join(counts, "id").join(parts.withColumnRenamed("node", "id"), "id", "left")

@@ -57,3 +57,40 @@ def test_matches_brute_force(spark, monkeypatch):
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(3, None, 1), (None, None, 1)], SCHEMA)).orderBy("vec_id").collect()] == [(None, 0, None, True), (3, 0, 3, True)]
+
+
+def classes_of(spark, groups, seed=2):
+    """(classes, sizes): groups of near vectors, and 600 vectors without links."""
+    rnd, rows, sizes = np.random.default_rng(seed), [], {}
+    for size in [*groups, *[1] * 600]:
+        base = rnd.normal(size=64)
+        for _ in range(size):
+            sizes[len(rows)] = size
+            rows.append((len(rows), (base + rnd.normal(size=64) * 0.02).tolist(), 1))
+    return spark.createDataFrame(rows, "id long, v array<double>, weight long"), sizes
+
+
+def counted(spark, sizes, found):
+    return spark.createDataFrame([(i, n if found(n) else 1) for i, n in sizes.items()], "id long, n long")
+
+
+def test_audit_sees_rare_and_small_groups(spark):
+    classes, sizes = classes_of(spark, [2] * 8)
+    assert vector_graph.audit(classes, counted(spark, sizes, lambda n: True), 0.9) == 1
+    assert vector_graph.audit(classes, counted(spark, sizes, lambda n: False), 0.9) == 0
+    classes, sizes = classes_of(spark, [400, *[2] * 60])
+    assert vector_graph.audit(classes, counted(spark, sizes, lambda n: True), 0.9) == 1
+    assert vector_graph.audit(classes, counted(spark, sizes, lambda n: n > 2), 0.9) < 0.5
+
+
+def test_widens_when_too_few_groups_decide(spark, monkeypatch):
+    classes, sizes = classes_of(spark, [30, *[2] * 4])
+    monkeypatch.setattr(vector_graph, "MOST", 64)
+    assert vector_graph.audit(classes, counted(spark, sizes, lambda n: True), 0.9) is None
+    full, part = counted(spark, sizes, lambda n: True), counted(spark, sizes, lambda n: n > 2)
+    assert vector_graph.agreement(classes, full, full) == 1 and vector_graph.agreement(classes, part, full) < 0.9
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    built, links = [], vector_graph._links
+    monkeypatch.setattr(vector_graph, "_links", lambda *a: built.append(a[3:]) or links(*a))
+    got = near_duplicates(classes.select(classes.id.alias("vec_id"), classes.v.alias("embedding"))).collect()
+    assert built[:2] == [(2, 4), (4, 8)] and {r.vec_id: r.n_links + 1 for r in got} == sizes

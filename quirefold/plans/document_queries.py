@@ -45,6 +45,16 @@ def lexicon_replaced(spark, sf):
     return d.select("doc_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
 
 
+@R.add(
+    "lexicon_replaced_all",
+    r"""WITH w AS (SELECT doc_id, string_split_regex(text, 'the|and|of|der') AS gaps, regexp_extract_all(text, 'the|and|of|der') AS hits FROM documents)
+SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(upper(hits[i]), '')), '')) AS digest FROM w""",
+)
+def lexicon_replaced_all(spark, sf):
+    """Replaced texts of every document, in all languages and with overlapping terms."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
+
+
 @R.add("relevant_terms")
 def relevant_terms(spark, sf):
     spans = lexicon.relevant_terms(F.col("text"), {"the": "x", "that": "y", "of": "z"})

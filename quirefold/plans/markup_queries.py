@@ -49,6 +49,14 @@ def repaired_documents(spark, sf):
     return literal_rows(spark, _DOC, "id int, html string").select("id", markup.repaired(F.col("html")).alias("html"))
 
 
+@R.add(
+    "repaired_pages",
+    """SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!DOCTYPE\\s+html\\s+(?:PUBLIC|SYSTEM)[^>]*>', '<!DOCTYPE html>'), '\\s+xmlns=""', '', 'g') AS html FROM pages""",
+)
+def repaired_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", markup.repaired(F.col("html")).alias("html"))
+
+
 _PACK = [(1, ["mimetype", "a"], False, 0, 0), (2, ["a", "mimetype"], True, 2, 1), (3, ["a"], False, 0, 0)]
 
 

@@ -375,12 +375,9 @@ def clean_styles(spark, sf):
     return literal_rows(spark, _STYLES, "id int, s string").select("id", text.clean_style(F.col("s")).alias("s"))
 
 
-_TYPO = [(1, '<p title="a...b">wait... no -- yes</p>'), (2, "<p>a--b</p><p>c....</p>"), (3, "<p>http://x--y <!-- c --></p>")]
-
-
 @R.add("typography")
 def typography(spark, sf):
-    return literal_rows(spark, _TYPO, "id int, html string").select("id", text.typography(F.col("html")).alias("html"))
+    return table(spark, sf, "pages").select("page_id", text.typography(F.col("html")).alias("html"))
 
 
 _NAMES = [(1, "C:\\x\\my:book?.epub"), (2, "/tmp/..hidden.txt"), (3, ""), (4, "a" * 150 + ".epub"), (5, "no extension"), (6, "書 名.epub")]
@@ -406,6 +403,17 @@ def href_parts(spark, sf):
     return literal_rows(spark, _HREFS, "id int, h string").select("id", text.href_parts(F.col("h")).alias("p")).select("id", "p.file", "p.fragment")
 
 
+@R.add(
+    "page_href_parts",
+    r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)
+SELECT page_id, h, regexp_replace(split_part(url_decode(h), '#', 1), '^[./]+', '') AS file, CASE WHEN contains(url_decode(h), '#') THEN regexp_extract(url_decode(h), '#(.*)$', 1) ELSE '' END AS fragment FROM u""",
+)
+def page_href_parts(spark, sf):
+    """Parts of every href of the pages."""
+    h = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    return h.select("page_id", "h", text.href_parts(F.col("h")).alias("p")).select("page_id", "h", "p.file", "p.fragment")
+
+
 _NOTES = [(1, '<a href="part0062.html#ch26fn1">1</a>'), (2, '<a href="x.html#n1">'), (3, None)]
 
 

@@ -1,14 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv factors.
-
-Every block of documents is a reference; its index is the sorted list of its
-windows (runs of ``min_words`` words), reached through minimisers so that a
-document meets only the reference blocks that can hold one of its factors.
-A document is factored greedily from left to right: a factor starts at the
-first window that also starts somewhere else - in any block, its own
-included - and goes on while the window one word further does.  Factors are
-judged window by window, so one that runs over the boundary of two
-neighbouring factors is found as well.  The words of all factors of at least
-``min_words`` words are the duplicate spans.
+"""Substring dedup: every run of ``min_words`` words that repeats is cut.
+
+The result is that of a relative Lempel-Ziv factoring against the whole
+corpus, but no factors are built: a factor of ``min_words`` words or more is a
+chain of repeated windows (runs of ``min_words`` words), so it is enough to
+find those.  ``repeated_windows`` does so by minimisers that occur twice and a
+hash join of the windows around them, the same job as in ``suffix_dedup``;
+here every place of a repeated window goes.  A greedy parse would need each
+reference's text beside each document and find the same words.
 
 Results: null text -> no words, text stays null; fewer than ``min_words``
 words -> nothing is cut; repeated rows count as documents of their own, so

@@ -1,12 +1,11 @@
-"""Suffix-array dedup over a sparse, distributed suffix array.
-
-Suffixes are kept only at minimiser positions (the least ``GRAM``-word hash
-among those of a run of ``min_words`` words).  They are sorted by the hash of
-their first words and neighbours are compared; a suffix with no equal
-neighbour shares no run of ``min_words`` words and drops out.  The others are
-extended to the left and right of the minimiser to every run of ``min_words``
-words around it; these are sorted with their places and again compared with
-their neighbours.  Of equal runs the first place by (id, position) stays and
+"""Passage dedup: of every run of ``min_words`` words that repeats, the first place stays.
+
+The result is that of comparing neighbours in a suffix array, but suffixes are
+not sorted: ``repeated_windows`` finds the minimisers that occur twice (the
+least ``GRAM``-word hash of a run of ``min_words`` words) and joins the windows
+around them by hash, the same job as in ``rlz_dedup``.  A sorted array would
+need suffixes of unbounded length to be compared and find the same runs.
+Of equal runs the first place by (id, position) stays and
 the words of all later ones are cut out; overlapping runs join, so longer
 passages go as a whole.
 

@@ -2,7 +2,9 @@
 
 Small helpers that run inside Spark tasks: a batch of UTF-8 texts becomes one
 byte array, words are found with a lookup table, and words and word runs are
-hashed with prefix sums, so the cost is a few passes over the bytes.
+hashed in a few passes over the bytes.  A word's hash gives every place in it
+a multiplier of its own, so words that only swap or repeat parts (Thue-Morse
+words, say) hash apart.
 
 Null texts count as empty.  Words are maximal runs of bytes other than
 space and 0x09-0x0D; UTF-8 keeps those bytes out of longer characters.
@@ -20,7 +22,6 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _MULT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_MULT2 = 0xC2B2AE3D27D4EB4F
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
@@ -58,15 +59,40 @@ def powers(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int = _MULT) -> np.ndarray:
-    """Hash of values[start:end] for each run, whatever its place."""
-    power, inverse = powers(mult, len(values) + 1)
+def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for each run, whatever its place; for short runs of well-mixed values."""
+    power, inverse = powers(_MULT, len(values) + 1)
     sums = np.empty(len(values) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(values * power[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+_places = np.zeros(0, np.uint64)
+
+
+def place_factors(n: int) -> np.ndarray:
+    """An odd random multiplier for each place in a word (kept between calls up to a bound)."""
+    global _places
+    if n <= len(_places):
+        return _places[:n]
+    out = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)
+    if n <= 2 * SLICE:
+        _places = out
+    return out[:n]
+
+
+def words_hash(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word letters[start:end] (64-bit letter codes; no word is empty)."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    head = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(head, size)
+    v = letters[place + np.repeat(starts, size)] * place_factors(int(size.max()))[place]
+    return mix(np.add.reduceat(v, head))
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -92,7 +118,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         table = _BYTES_LOWER if lower else _BYTES
-        return runs_hash(table[self.data], self.starts, self.ends)
+        return words_hash(table[self.data], self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
@@ -125,13 +151,16 @@ def word_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Itera
         row = stop
 
 
-def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of ``size`` words, text ends ignored."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return runs_hash(words, at, at + size), runs_hash(words, at, at + size, _MULT2)
+def window_names(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words, text ends ignored, by doubling: runs of 1, 2, 4, .. and their overlap."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    x, span = words, 1
+    join = lambda a, b: mix(a * np.uint64(_MULT) + (b ^ (b >> np.uint64(31))))
+    while span * 2 <= size:
+        x = join(x[:-span], x[span:])
+        span *= 2
+    return join(x[: len(words) - size + 1], x[size - span :][: len(words) - size + 1]) if span < size else x
 
 
 def window_starts(first: np.ndarray, size: int, n_words: int) -> np.ndarray:

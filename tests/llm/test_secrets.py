@@ -1,12 +1,13 @@
 """op4: base spans against Python's regular expressions, the battery against random and plain runs."""
 
+import math
 import random
 import re
 import string
 
 from pyspark.sql import functions as F
 
-from quirefold.llm.secrets import listed, redact, scan
+from quirefold.llm.secrets import ALPHABETS, _battery, listed, redact, scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ["assign", "access", "hex"]
@@ -37,15 +38,54 @@ def test_base_spans(spark):
 
 def test_battery_tells_random_from_plain(spark):
     rnd = random.Random(2)
-    b64 = string.ascii_letters + string.digits + "+/"
-    words = ["chapter", "section", "figure", "table", "appendix", "volume", "article", "number"]
-    secrets_ = ["".join(rnd.choice(b64) for _ in range(40)) for _ in range(200)]
-    plain = ["_".join(rnd.choice(words) for _ in range(6)) + f"_{rnd.randint(1, 99)}" for _ in range(2000)]
-    docs = [(i, f"see {t} there") for i, t in enumerate(secrets_ + plain)]
+    b64, hexes = string.ascii_letters + string.digits + "+/", "0123456789ABCDEF"
+    words = ["chapter", "section", "figure", "table", "appendix", "volume", "article", "number", "introduction", "conclusions"]
+    secrets_ = ["".join(rnd.choice(b64) for _ in range(rnd.choice([24, 32, 40, 64]))) for _ in range(200)] + ["".join(rnd.choice(hexes) for _ in range(40)) for _ in range(40)]
+    plain = ["_".join(rnd.choice(words) for _ in range(6)) + f"_{rnd.randint(1, 99)}" for _ in range(1000)]
+    plain += ["".join(rnd.choice(words).title() for _ in range(4)) + f"V{rnd.randint(1, 9)}" for _ in range(1000)]
+    prose = ["introduction", "conclusions", "explanation", "particularly", "development", "background", "throughout", "hypotheses", "quantities", "workmanship"]
+    prose += [a + b for a in words for b in words if len(a + b) >= 10]
+    docs = [(i, f"see {t} in the {rnd.choice(prose)} there") for i, t in enumerate(secrets_ + plain)]
     rows = scan(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()
     hit = {r.doc_id for r in rows if r.n}
-    assert len([i for i in hit if i < 200]) > 170
-    assert len([i for i in hit if i >= 200]) < 40
+    right = len([i for i in hit if i < 240])
+    assert right > 0.85 * 240 and len(hit) - right <= 0.05 * len(hit)
+
+
+def test_statistics_against_python(spark):
+    rnd = random.Random(4)
+    tokens = ["".join(rnd.choice("0123456789abcdef") for _ in range(n)) + "a1" for n in (20, 33, 70)] + ["abcdabcd1_-" * 4]
+    weights = [([rnd.random() * c.isalpha() for c in a], 0.3, 0.7) for _, a in ALPHABETS]
+    got = spark.createDataFrame([(tokens,)], "t array<string>").select(_battery(F.col("t"), weights).alias("b")).first().b
+    for t, r in zip(tokens, got, strict=True):
+        t = t.translate(str.maketrans("-_", "+/"))
+        letters = next(a for _, a in ALPHABETS if set(t) <= set(a))
+        n, a, x = len(t), len(letters), [letters.index(c) for c in t]
+        count = [x.count(i) for i in range(a)]
+        squares, middle = sum(c * c for c in count), (a - 1) / 2
+        z = [
+            (squares * a / n - n - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n),
+            (sum((p > middle) != (q > middle) for p, q in zip(x, x[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4),
+            sum((p - middle) * (q - middle) for p, q in zip(x, x[1:])) / ((a * a - 1) / 12 * math.sqrt(n - 1)),
+        ]
+        quarters = sum(sum(count[i * a // 4 : (i + 1) * a // 4]) ** 2 for i in range(4)) * 4 / n - n
+        w = ((max(quarters, 0) / 3) ** (1 / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27)
+        p = min(1.0, 4 * min(*(math.erfc(abs(v) / math.sqrt(2)) for v in z), math.erfc(w / math.sqrt(2)) / 2))
+        assert r.n == n and abs(r.p - p) < 1e-3
+        letter = [c.isalpha() for c in t]
+        w = weights[[x for _, x in ALPHABETS].index(letters)][0]
+        light = (sum(letter) * 0.3 - sum(w[i] for i in x)) / (0.7 * math.sqrt(sum(letter)))
+        low = math.erfc(light / math.sqrt(2)) / 2 if light >= 0 else 1.0
+        assert abs(r.strength - math.floor(-4 * math.log2(low))) <= 1
+
+
+def test_very_long_run_and_many_matches(spark):
+    rnd = random.Random(5)
+    run = "".join(rnd.choice(string.ascii_letters + string.digits + "+/") for _ in range(1_000_000)) + "7a"
+    many = "token=abcdefghijklmnop " * 3000
+    rows = scan(spark.createDataFrame([(1, "an introduction " + run), (3, " ".join(["explanation", "particularly", "development", "throughout"] * 9)), (2, many)], "doc_id long, text string")).select("doc_id", "spans").collect()
+    by = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in rows}
+    assert by[1] == [(16, 16 + len(run))] and by[2] == [(23 * i, 23 * i + 22) for i in range(3000)]
 
 
 def test_redaction(spark):

@@ -8,7 +8,7 @@ its least time, truncated to 16 bits.  Registers of a union are the maxima of
 the registers, so sketches merge, and two sets agree in a register about as
 often as their Jaccard similarity.
 
-1. Sets with equal digests form a class; only its least id goes on.
+1. Sets with equal digests form a class; only one row of it goes on.
 2. ``BANDS`` bands of ``ROWS`` registers deal classes to buckets.  The member
    that shares buckets with the most others is a bucket's pivot (the original
    among its edited copies, as a rule) and meets every other member: a bucket
@@ -24,8 +24,11 @@ often as their Jaccard similarity.
 
 A pair at the threshold misses every bucket with probability 3e-6, less above.
 
-Null ids never occur in links; rows that share an id count as one node, and
-repeated rows are returned once each.  Ties: the least id stands for a class.
+Null ids never occur in links.  Rows that share an id are judged each by its
+own text; repeated rows are returned once each.  Ties: the least id (of equal
+ids, the least text hash) stands for a class and for a component.  Null and
+empty texts link with nothing; an empty table gives no rows; other columns
+take no part.
 """
 
 from __future__ import annotations
@@ -189,12 +192,13 @@ def _sketches(text_col: str, id_col: str, size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(id_col).slice(words.row, len(n)),
+                        batch.column("th").slice(words.row, len(n)),
                         pa.array(n.astype(np.int64)),
                         pa.array(d[0].view(np.int64)),
                         pa.array(d[1].view(np.int64)),
                         pa.array([r.tobytes() for r in k], pa.binary()),
                     ],
-                    names=["id", "n", "d1", "d2", "k"],
+                    names=["id", "th", "n", "d1", "d2", "k"],
                 )
 
     return run
@@ -278,20 +282,21 @@ def _confirm(size: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: bool = False
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Documents with 100 * |A n B| >= percent * |A u B| are linked;
-    component_id is the least id reachable over links.
+    component_id is the least id reachable over links.  rows: also text_hash
+    (xxhash64 of the text) and first, whether the row's id and text are those
+    that stand for the component.
     """
     n = shuffle_partitions(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sk = materialize(source.mapInArrow(_sketches("text", "id", shingle), "id long, n long, d1 long, d2 long, k binary"), "sketches")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    sk = materialize(source.mapInArrow(_sketches("text", "id", shingle), "id long, th long, n long, d1 long, d2 long, k binary"), "sketches")
     # identical sets: one class, whatever their number
-    classes = materialize(
-        sk.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("k").alias("k")), "classes"
-    )
+    classes = sk.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "th")).alias("least"), F.first("k").alias("k"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
     buckets = materialize(
         classes.select("rep", "k")
         .mapInArrow(_to_bands, "key long, rep long")
@@ -303,8 +308,8 @@ def near_duplicates(
 
     # whole texts move once, and only those of bucket members go on; the joins on
     # text are merge joins at every size, so that growth stays in proportion
-    members = buckets.select("rep").distinct()
-    texts = materialize(source.withColumnRenamed("id", "rep").join(members.hint("merge"), "rep").dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    members = buckets.select("rep").distinct().join(classes.select("rep", "least.id", "least.th"), "rep")
+    texts = materialize(source.join(members.hint("merge"), ["id", "th"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
@@ -323,13 +328,22 @@ def near_duplicates(
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = connected_components(links, "a", "b")
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
-        "d1", "d2", "n", F.coalesce("component", "rep").alias("component")
-    )
+    nodes = parts.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+    roots = nodes.groupBy("component").agg(F.min("least").alias("root"))
+    rooted = nodes.join(roots, "component").select(F.col("node").alias("rep"), "root")
+    named = classes.join(rooted, "rep", "left").select("d1", "d2", "n", F.coalesce("root", "least").alias("root"))
     out = sk.drop("k").join(named, ["d1", "d2", "n"], "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("root.id", "id"))
+    more_columns = []
+    if rows:
+        own = F.struct("id", "th")
+        more_columns = [F.col("th").alias("text_hash"), F.coalesce(F.coalesce("root", own) == own, F.lit(True)).alias("first")]
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept")
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        comp.alias("component_id"),
+        F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"),
+        *more_columns,
     )
 
 

@@ -1,6 +1,6 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-1. Equal vectors form a class; its least id and its size go on.
+1. Equal vectors form a class under a number of its own; its size goes on.
 2. Pivots are k-means centres of a bounded sample (``SAMPLE`` vectors a
    pivot, ``MAX_PIVOTS`` at most).  A vector is stored in the shards of its
    ``STORED`` nearest pivots, so shards overlap; shards of more than ``SHARD``
@@ -318,7 +318,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(id, n_links, component_id, kept), one row for each row of ``vectors``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v"))
     fine = usable(rows, "v").where(F.exists("v", lambda v: v != 0) & F.col("id").isNotNull())
-    classes = materialize(fine.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "v", "weight"), "vectors")
+    groups = fine.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    groups = materialize(groups.select(F.monotonically_increasing_id().alias("id"), "v", "weight", "least"), "vectors")
+    classes = groups.select("id", "v", "weight")
     n = classes.count()
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -339,8 +341,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         narrow = counts
         stored, visited = 2 * stored, 2 * visited
     parts = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
-    named = classes.join(counts, "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("v", F.col("n"), F.coalesce("component", "id").alias("component"))
+    nodes = parts.withColumnRenamed("node", "id").join(groups.select("id", "least"), "id")
+    rooted = nodes.join(nodes.groupBy("component").agg(F.min("least").alias("root")), "component").select("id", "root")
+    named = groups.join(counts, "id").join(rooted, "id", "left").select("v", F.col("n"), F.coalesce("root", "least").alias("component"))
     out = rows.join(named, rows["v"] == named["v"], "left").where("true")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(

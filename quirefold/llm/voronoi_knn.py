@@ -40,6 +40,8 @@ PIVOTS = 64
 #: Queries in a group and vectors in a block.
 GROUP, BLOCK_ROWS = 4096, 32768
 _SLACK = 1e-6
+#: Rows that share a query's id, up to which cells are bounded; beyond, every row is compared.
+OWN = 1000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -64,6 +66,8 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
 def bounds(pivots: np.ndarray, nearest: list[np.ndarray], queries: np.ndarray, k: int) -> np.ndarray:
     """Lower bound of each query's k-th score; nearest: a cell's k smallest distances."""
     dots, norms = queries @ pivots.T, np.linalg.norm(queries, axis=1)
+    if not k:
+        return np.full(len(queries), -np.inf)
     low = np.concatenate([dots[:, [i]] - norms[:, None] * d[None, :] for i, d in enumerate(nearest)], axis=1)
     if low.shape[1] < k:
         return np.full(len(queries), -np.inf)
@@ -91,10 +95,13 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(r)], names=["id", "v", "q", "cell", "r"])
 
     placed = materialize(data.mapInArrow(cells, "id long, v array<double>, q boolean, cell int, r double"), "cells")
-    # one row more than k, as a query is no candidate of its own
-    first = placed.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("at") <= k + 1)
+    # as many rows more than k as share a query's id, as none of them is a candidate for it
+    own = placed.groupBy("id").agg(F.count("*").alias("n"), F.max("q").alias("q")).where("q").agg(F.max("n")).first()[0] or 1
+    bounded = own <= OWN
+    depth = k + own if bounded else 0
+    first = placed.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("at") <= depth)
     nearest: list[list[float]] = [[] for _ in pivots]
-    for row in first.select("cell", "r").collect():  # at most (k + 1) * PIVOTS rows
+    for row in first.select("cell", "r").collect():  # at most (k + OWN) * PIVOTS rows
         nearest[row["cell"]].append(row["r"])
     summary = spark.sparkContext.broadcast([np.array(sorted(x)) for x in nearest])
 
@@ -125,7 +132,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     def reach(batch_table: pa.Table) -> pa.Table:
         p, near = shared.value, summary.value
         q = matrix(batch_table["v"])
-        floor_ = bounds(p, near, q, k + 1)
+        floor_ = bounds(p, near, q, depth) if bounded else np.full(len(q), -np.inf)
         norms = np.linalg.norm(q, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             need = (floor_[:, None] - q @ p.T) / norms[:, None]

@@ -67,3 +67,12 @@ def test_empty(spark, tmp_path):
     for _, f in STAGES:
         docs = f(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    near = dict(STAGES)["near_dedup"]
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a + " z", "x"), (3, b + " z", "x"), (None, a, "x"), (None, None, "x"), (4, None, "x"), (4, "", "x")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in near(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, a), (None, None), (4, None), (4, "")], key=str)

@@ -93,3 +93,13 @@ def test_large_group_with_outliers(spark, monkeypatch):
             docs.append((1000 + i, " ".join(c)))
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()
     assert sorted(tuple(r) for r in got) == brute(docs, 2, 80)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, rows=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept, r.first) for r in got) == [(1, 1, True, True), (1, 1, True, True), (2, 1, False, False), (3, 1, False, False)]
+    rows = [(5, a), (5, b), (2, a + " z"), (7, b + " z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (5, 5), (7, 5)]

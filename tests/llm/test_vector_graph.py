@@ -94,3 +94,9 @@ def test_widens_when_too_few_groups_decide(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "_links", lambda *a: built.append(a[3:]) or links(*a))
     got = near_duplicates(classes.select(classes.id.alias("vec_id"), classes.v.alias("embedding"))).collect()
     assert built[:2] == [(2, 4), (4, 8)] and {r.vec_id: r.n_links + 1 for r in got} == sizes
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (4, [0.0, 0.0, 1.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]

@@ -28,25 +28,36 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is not rejected; null, empty and letterless texts go, repeated rows are judged one by one."""
     model = langid.learn(docs)
     return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = setsketch.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: that of the least id (of equal ids, of the least text hash).
+
+    Rows with one id but texts that are no near copies stay both; rows that
+    repeat id and text are one; rows without an id and texts without words
+    link with nothing and stay.
+    """
+    found = setsketch.near_duplicates(docs, shingle=5, percent=80, rows=True)
+    kept = found.where("first and doc_id is not null").select("doc_id", "text_hash").distinct()
+    named = docs.withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the later places of repeated passages; null texts stay null, the least (id, position) is the first place."""
     return _sized(suffix_dedup.suffix_dedup(docs, min_words=50), docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts replaced by a mark; null texts stay null."""
     return _sized(secrets.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a document; null texts are the end id alone, repeated rows are packed one by one."""
     return packing.pack(docs, size=2048, end_id=0)
 
 

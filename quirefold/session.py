@@ -33,10 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A cluster names it; only where it is unset (tests, a laptop) a local
-    folder is chosen.
+    A cluster must name it.  Only in local mode, where driver and executors
+    are one process, a folder is chosen if it is unset.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quirefold-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "/tmp/quirefold-checkpoints"
     return root.rstrip("/")
 
 

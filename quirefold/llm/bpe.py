@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.packing import byte_letters
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Chunks kept by a worker; the table starts anew beyond.
-KEPT = 200_000
+#: Chunks kept by a worker, and their bytes with ids and decoded forms; the table starts anew beyond either.
+KEPT, KEPT_BYTES = 200_000, 64 << 20
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -119,7 +119,7 @@ class _Kept(dict):
     """Chunk -> little-endian ids and their decoded form, in two generations of bounded size."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.older = bpe, {}
+        self.bpe, self.older, self.bytes = bpe, {}, 0
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         out = self.older.get(chunk)
@@ -132,12 +132,14 @@ class _Kept(dict):
                 parts = [self[w] for w in words]
                 out = b"".join([a for a, _ in parts]), " ".join([b for _, b in parts])
         self[chunk] = out
+        self.bytes += len(chunk) + len(out[0]) + len(out[1])
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        if len(self) > KEPT:
+        if len(self) > KEPT or self.bytes > KEPT_BYTES:
             self.older = dict(self)
             self.clear()
+            self.bytes = 0
         if "<|" in text:
             ids, decoded = [], []
             for part in self.bpe.marks.split(text):

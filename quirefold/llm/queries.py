@@ -129,3 +129,84 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_WORD = r"[^\x20\x09-\x0D]"
+ORACLE["op2_rlz_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents
+), p AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(w) - 33)) AS t(i)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM p) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, j FROM hit, unnest(range(i, i + 35)) AS t(j)
+), kept AS (
+  SELECT x.r, string_agg(x.word, ' ' ORDER BY x.j) AS words, count(*) AS n
+  FROM (SELECT r, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(j)) AS x
+  LEFT JOIN gone AS g ON g.r = x.r AND g.j = x.j WHERE g.j IS NULL GROUP BY x.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE["op8_suffix_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}+[\x20\x09-\x0D]*') AS pieces, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead
+  FROM documents
+), p AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM d, unnest(range(1, len(w) - 48)) AS t(i)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM p) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, j FROM hit, unnest(range(i, i + 50)) AS t(j)
+), spans AS (
+  SELECT r, string_agg((a - 1) || ':' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a + 1) AS BIGINT) AS n, max(b) AS last
+  FROM (SELECT r, min(j) AS a, max(j) AS b FROM (SELECT r, j, j - row_number() OVER (PARTITION BY r ORDER BY j) AS run FROM gone) GROUP BY r, run) GROUP BY r
+), kept AS (
+  SELECT x.r, string_agg(x.piece, '' ORDER BY x.j) AS words
+  FROM (SELECT r, j, pieces[j] AS piece FROM d, unnest(range(1, len(pieces) + 1)) AS t(j)) AS x
+  LEFT JOIN gone AS g ON g.r = x.r AND g.j = x.j WHERE g.j IS NULL GROUP BY x.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS spans,
+       sha256(lead || coalesce(words, '') || CASE WHEN last = len(w) THEN pieces[len(w)][len(w[len(w)]) + 1:] ELSE '' END) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE["op5_setsketch"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS k FROM d, unnest(range(1, greatest(len(w), least(len(w), 1) + 1))) AS t(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), z AS (
+  SELECT s.doc_id, k, n FROM s JOIN n USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM z AS a JOIN z AS b ON a.k = b.k AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
+
+ORACLE["op9_vector_graph"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.w, b.w) >= 0.9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

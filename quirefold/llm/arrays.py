@@ -68,29 +68,30 @@ def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-_places = np.zeros(0, np.uint64)
+#: An odd random multiplier for each of the first places in a word.
+_FACTORS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)
+#: Bytes hashed at a time, so that the working arrays stay small.
+_STEP = 1 << 18
 
 
-def place_factors(n: int) -> np.ndarray:
-    """An odd random multiplier for each place in a word (kept between calls up to a bound)."""
-    global _places
-    if n <= len(_places):
-        return _places[:n]
-    out = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)
-    if n <= 2 * SLICE:
-        _places = out
-    return out[:n]
-
-
-def words_hash(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each word letters[start:end] (64-bit letter codes; no word is empty)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def words_hash(letters: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word data[start:end] (bytes; no word is empty), with 64-bit codes for the letters."""
     size = ends - starts
     head = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(head, size)
-    v = letters[place + np.repeat(starts, size)] * place_factors(int(size.max()))[place]
-    return mix(np.add.reduceat(v, head))
+    total, longest = int(size.sum()), int(size.max(initial=0))
+    out = np.zeros(len(starts), np.uint64)
+    for low in range(0, total, _STEP):
+        high = min(total, low + _STEP)
+        a, b = int(np.searchsorted(head, low, side="right")) - 1, int(np.searchsorted(head, high))
+        begin = np.maximum(head[a:b], low)
+        n = np.minimum(head[a:b] + size[a:b], high) - begin
+        place = np.arange(low, high) - np.repeat(head[a:b], n)
+        if longest <= len(_FACTORS):
+            factor = _FACTORS[place]
+        else:
+            factor = mix((place + 1).astype(np.uint64) * np.uint64(_MULT)) | np.uint64(1)
+        out[a:b] += np.add.reduceat(letters[data[place + np.repeat(starts[a:b], n)]] * factor, begin - low)
+    return mix(out)
 
 
 class Words:
@@ -118,7 +119,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         table = _BYTES_LOWER if lower else _BYTES
-        return words_hash(table[self.data], self.starts, self.ends)
+        return words_hash(table, self.data, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:

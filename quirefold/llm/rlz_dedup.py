@@ -44,7 +44,7 @@ from quirefold.llm.blocks import BLOCK, HOT, Seeds, by_key, cover, dealt, gather
 
 GRAM = 8
 #: Contexts of a reference block that are factored at a time.
-ROWS = 20_000
+ROWS = 8_000
 _EMPTY = {"key": pa.int64(), "sid": pa.int64(), "block": pa.int32(), "lead": pa.int32(), "n": pa.int32(), "words": pa.binary()}
 
 
@@ -135,7 +135,7 @@ class Reference:
             ids = np.array([names.setdefault(w, len(names)) for x in self.raw for w in x[:-1].split(b" ")], np.int64)
         else:
             letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            _, ids = np.unique(words_hash(letters[data], starts, ends), return_inverse=True)
+            _, ids = np.unique(words_hash(letters, data, starts, ends), return_inverse=True)
         row = np.repeat(np.arange(m), n)
         self.columns = 2 * window - gram
         # a missing word equals no other

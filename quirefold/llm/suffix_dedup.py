@@ -45,7 +45,7 @@ from quirefold.llm.blocks import BLOCK, HOT, Seeds, by_key, cover, dealt, gather
 
 GRAM = 8
 #: Suffixes compared at a time.
-ROWS = 20_000
+ROWS = 8_000
 _NULL = np.iinfo(np.int64).min
 _SENT = {"key": pa.int64(), "sid": pa.int64(), "block": pa.int32(), "n": pa.int32(), "right": pa.binary(), "left": pa.binary(), "doc": pa.int64(), "row": pa.int64(), "pos": pa.int64()}
 _FOUND = "key long, sid long, _block int, again long, first long, doc long, row long, pos long"
@@ -181,7 +181,7 @@ def compared(table: pa.Table, window: int, gram: int, exact: bool = False) -> tu
         ids = [np.array([names.setdefault(w, len(names)) for x in s.raw for w in x.split(b" ")[:-1]], np.int64) for s in sides]
     else:
         letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        hashes = [words_hash(letters[s.data], s.starts, s.ends) for s in sides]
+        hashes = [words_hash(letters, s.data, s.starts, s.ends) for s in sides]
         _, flat = np.unique(np.concatenate(hashes), return_inverse=True)
         ids = [flat[: len(hashes[0])], flat[len(hashes[0]) :]]
     free = max((int(x.max()) + 1 for x in ids if len(x)), default=0)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from quirefold.llm import arrays
 from quirefold.llm import rlz_dedup as rlz_module
 from quirefold.llm import suffix_dedup as suffix_module
 from quirefold.llm.arrays import words_hash
@@ -123,13 +124,29 @@ def test_clashing_hashes_are_found_out(monkeypatch):
     for clash in (False, True):
         if clash:  # two of the words look alike
             for module in (rlz_module, suffix_module):
-                monkeypatch.setattr(module, "words_hash", lambda letters, a, b: words_hash(letters, a, b) % np.uint64(5))
+                monkeypatch.setattr(module, "words_hash", lambda *a: words_hash(*a) % np.uint64(5))
         assert rlz_module.repeated(context, window, gram).tolist() == true.tolist()
         again, first = suffix_module.compared(suffix, window, gram)
         assert flip(again) == take(true.tolist())
         assert all(f & ~a == 0 for a, f in zip(again.tolist(), first.tolist(), strict=True))
 
 
+def test_words_hash_in_pieces(monkeypatch):
+    rnd = random.Random(9)
+    words = [bytes(rnd.choice(b"abc") for _ in range(rnd.choice([1, 2, 7, 40, 5000]))) for _ in range(60)]
+    text = b" ".join(words)
+    data = np.frombuffer(text, np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - np.array([len(w) for w in words])
+    letters = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
+    whole = words_hash(letters, data, starts, ends)
+    short = np.array([len(w) < 4096 for w in words])
+    monkeypatch.setattr(arrays, "_STEP", 13)
+    assert (words_hash(letters, data, starts, ends) == whole).all()
+    assert (words_hash(letters, data, starts[short], ends[short]) == whole[short]).all()
+    assert len(set(whole.tolist())) == len(set(words)) and len(words_hash(letters, data, starts[:0], ends[:0])) == 0
+
+
 def test_copies_without_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(None, text), (None, text), (None, "x " + text), (3, text), (3, "y " + text)], "doc_id long, text string")

@@ -23,6 +23,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 IMAGES = {"img", "svg", "image"}
 CAPTION = re.compile("figcaption|caption|figure|photo|picture|image|diagram|illustration|illus|legend|credit", re.I)
 NOTE = re.compile("footnotes?|footnoteg|endnotes?|rearnotes?|note[-_ ]?text", re.I)
+# Marks of a citation, and of a reference.
 CITED = re.compile(r"https?://|www\.|doi\s*:|isbn\s*:", re.I)
 SIGNALS = re.compile(r"https?://|www\.|doi\s*:|isbn\s*:|\b(?:vol|no|pp?|eds?)\.\s*\d|\b(?:19|20)\d{2}\b", re.I)
 

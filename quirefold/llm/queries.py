@@ -66,11 +66,10 @@ def op7_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirefold.llm.suffix_tree_lm import learn, score
+    from quirefold.llm.suffix_tree_lm import fit_and_score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = learn(docs.where(_remainder(7) != 2))
-    return score(docs, tree, counts).select(
+    return fit_and_score(docs, _remainder(7) != 2).select(
         "doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

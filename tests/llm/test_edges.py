@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quirefold.llm import arrays, bpe, langid, packing, rlz_dedup, secrets, setsketch, suffix_dedup, suffix_tree_lm
 
 LONG = "word " * 400_000
@@ -66,8 +68,7 @@ def test_secrets(docs):
 
 
 def test_scoring(docs):
-    tree, counts = suffix_tree_lm.learn(docs)
-    rows = suffix_tree_lm.score(docs, tree, counts).collect()
+    rows = suffix_tree_lm.fit_and_score(docs, F.lit(True), min_context=50, min_entry=5).collect()
     assert len(rows) == len(ROWS) and {r.doc_id: r.n_tokens for r in rows}[1] == 400_001
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
 

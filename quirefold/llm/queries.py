@@ -101,7 +101,34 @@ def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
 
 
+def op11_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each of the five filters at each step of all 120 orders, by source; nulls, ties and empty tables as in filter_audit."""
+    from quirefold.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the output; nulls, ties and empty tables as in chat."""
+    from quirefold.llm.chat import format_chats, read_back
+
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = F.transform("turns", lambda u: F.concat(u["role"], F.lit("\n"), u["text"], F.lit("\n")))
+    return read_back(format_chats(talk.unionByName(own))).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
+    "op11_filter_cube": op11_filter_cube,
+    "op13_chat_format": op13_chat_format,
     "op9_vector_graph": op9_vector_graph,
     "op4_secret_battery": op4_secret_battery,
     "op3_voronoi_knn": op3_voronoi_knn,
@@ -209,3 +236,56 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
+
+ORACLE["op11_filter_cube"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+  SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+      100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)] AS fails,
+    EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic
+  FROM w
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS c, ord(filter_order[step]) - 64 AS own, list_transform(range(1, step), lambda k: ord(filter_order[k]) - 64) AS before
+  FROM orders, unnest(range(1, 6)) AS s(step)
+), r AS (
+  SELECT part, filter_order, step, c, n, good, toxic, fails[own] AS fail, len(list_filter(before, lambda k: fails[k])) > 0 AS earlier,
+    fails[own] AND len(list_filter(fails, lambda x: x)) = 1 AS sole
+  FROM g, steps
+), s AS (
+  SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (NOT fail AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (fail AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (sole), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fail AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT earlier), 0) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, c
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM s
+"""
+
+ORACLE["op13_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)
+), e AS (
+  SELECT *, coalesce(lag(role) OVER w <> role, TRUE) AS first,
+    length(text) + len(regexp_extract_all(text, '<\\*(/?s>|</?SYS>>)|\[\\*/?INST\]')) AS chars,
+    length(role) + len(regexp_extract_all(role, '<\\*(/?s>|</?SYS>>)|\[\\*/?INST\]')) AS role_chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + CASE WHEN first THEN role_chars + 6 + 7 + 4 ELSE 3 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

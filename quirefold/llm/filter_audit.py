@@ -27,6 +27,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.session import materialize
+
 FILTERS = "ABCDE"
 _ALL = (1 << len(FILTERS)) - 1
 
@@ -88,7 +90,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     orders = spark.createDataFrame(_orders(), "filter_order string, step int, before int, filter int")  # 600 rows, whatever the data
     pairs = orders.groupBy("before", "filter").agg(F.count("*").alias("weight"))  # 80 rows: a pair occurs in that many orders
-    grid = survivors(failures(docs, labels))
+    grid = materialize(survivors(failures(docs, labels)), "survivors")  # 32 rows a part
     after = grid.select("part", F.col("subset").alias("after"), F.col("n").alias("kept"), F.col("good").alias("good_after"), F.col("toxic").alias("toxic_after"))
     step = grid.withColumnRenamed("subset", "before").join(F.broadcast(pairs), "before")
     step = step.withColumn("after", F.expr("before | shiftleft(1, filter)")).join(after, ["part", "after"])

@@ -108,6 +108,13 @@ def op11_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with their near words, form and root; nulls, ties and empty tables as in spelling."""
+    from quirefold.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back from the output; nulls, ties and empty tables as in chat."""
     from quirefold.llm.chat import format_chats, read_back
@@ -128,6 +135,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op11_filter_cube": op11_filter_cube,
+    "op12_spelling_automata": op12_spelling_automata,
     "op13_chat_format": op13_chat_format,
     "op9_vector_graph": op9_vector_graph,
     "op4_secret_battery": op4_secret_battery,
@@ -289,3 +297,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(chars + CASE WHEN first THEN role_chars + 6 + 7 + 4 ELSE 3 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLE["op12_spelling_automata"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS r(i))
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), d AS (
+  SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w
+), b AS (
+  SELECT w, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + (CAST(ord(c) AS BIGINT) >> 6), 128 + (CAST(ord(c) AS BIGINT) & 63)] END)) AS bytes FROM d
+), h AS (
+  SELECT w, n, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tab
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM v, unnest(range(1, length(word) + 1)) AS p(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts AS a JOIN cuts AS b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts AS a JOIN v AS b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts AS a JOIN v AS b ON a.cut = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({'n': -n, 'form': other}) AS best FROM near GROUP BY word
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 5 * n THEN best.form END AS form, CASE WHEN -best.n >= 5 * n THEN -best.n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT way.word, way.root FROM way JOIN f ON f.word = way.root WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""

@@ -10,16 +10,18 @@ The parse of one document is a small helper; documents are dealt by Spark.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Block elements, elements without content, and the class words of captions and notes.
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+from quirefold.sources.spans import Document
+
+#: Attributes whose words tell captions and notes.
+WORDS = ("class", "id", "role", "epub:type", "type")
+# The class words of captions and notes.
 IMAGES = {"img", "svg", "image"}
 CAPTION = re.compile("figcaption|caption|figure|photo|picture|image|diagram|illustration|illus|legend|credit", re.I)
 NOTE = re.compile("footnotes?|footnoteg|endnotes?|rearnotes?|note[-_ ]?text", re.I)
@@ -30,92 +32,28 @@ SIGNALS = re.compile(r"https?://|www\.|doi\s*:|isbn\s*:|\b(?:vol|no|pp?|eds?)\.\
 SCHEMA = "sequence int, locator string, tag string, text string, word_count int, char_count int, strategy string, skipped string, caption boolean"
 
 
-class _Node:
-    __slots__ = ("attrs", "children", "counts", "index", "parent", "tag")
-
-    def __init__(self, tag: str, parent: _Node | None, attrs: str = ""):
-        self.tag, self.parent, self.attrs = tag, parent, attrs
-        self.children: list = []
-        self.counts: dict[str, int] = {}
-        self.index = 1
-        if parent is not None:
-            parent.counts[tag] = self.index = parent.counts.get(tag, 0) + 1
-            parent.children.append(self)
-
-    def walk(self):
-        todo = [self]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo += [c for c in reversed(node.children) if isinstance(c, _Node)]
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, str):
-                out.append(node)
-            else:
-                todo += reversed(node.children)
-        return "".join(out)
-
-    def up(self):
-        node = self
-        while node.parent is not None:
-            yield node
-            node = node.parent
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", None)
-
-    def handle_starttag(self, tag, attrs):
-        words = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "epub:type", "type"))
-        node = _Node(tag, self.at, words)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        if self.at.tag not in ("script", "style"):
-            self.at.children.append(data)
-
-
 def chunks_of(html: str) -> list[tuple]:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    doc = Document(html or "")
+    images = sorted(x.start for x in doc.nodes if x.tag in IMAGES)
+    kinds = {-1: (False, False)}  # whether an element, or one around it, is a note or a caption
+    for x in doc.nodes:
+        note, caption = kinds[x.parent.number]
+        own = "" if x.tag in ("html", "body") or "=" not in x.attrs else " ".join(v for k in WORDS if (v := x.attribute(k)))
+        kinds[x.number] = (note or bool(NOTE.search(own)), caption or bool(CAPTION.search(own))) if own else (note, caption)
     out = []
-    for node in tree.root.walk():
-        if node.tag not in BLOCKS:
-            continue
-        below = [n.tag for n in node.walk()][1:]
-        raw = node.text()
+    for node in doc.leaf_blocks():
+        raw = "".join(doc.strings(node))
         text = raw.strip()
-        if not text or any(t in BLOCKS for t in below):
+        if not text:
             continue
-        path = list(node.up())
-        words = " ".join(n.attrs for n in path if n.tag not in ("html", "body"))
         flat = " ".join(text.split())
-        note, image = bool(NOTE.search(words)), any(t in IMAGES for t in below)
+        i = bisect_left(images, node.inner)
+        note, caption = kinds[node.number]
+        image = i < len(images) and images[i] < node.stop
         sentences = len(re.findall(r"[.!?](?:\s|$)", flat))
         cites = note and sentences <= 1 and ((bool(CITED.search(flat)) and len(flat) <= 300) or len(SIGNALS.findall(flat)) >= 2)
-        locator = "".join(f"/{n.tag}[{n.index}]" for n in reversed(path))
         out.append(
-            (len(out) + 1, locator, node.tag, text, len(text.split()), len(raw), "text_nodes" if note else "html", "image" if image else "reference" if cites else None, bool(CAPTION.search(words)) and not image)
+            (len(out) + 1, node.locator(), node.tag, text, len(text.split()), len(raw), "text_nodes" if note else "html", "image" if image else "reference" if cites else None, caption and not image)
         )
     return out
 

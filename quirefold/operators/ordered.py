@@ -35,9 +35,12 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: st
     part = df.withColumn("_part", F.floor(F.col(order) / width))
     sums = part.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    base = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    base = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_base_part"), F.coalesce(before, F.lit(0)).alias("_base"))
+    on = F.col("_part") == F.col("_base_part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     own = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return part.withColumn("_own", own).join(base, [*keys, "_part"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+    return part.withColumn("_own", own).join(base, on).select(*df.columns, (F.col("_base") + F.col("_own")).alias(name))
 
 
 def greedy_batches(items: Column, limit: int) -> Column:
@@ -91,3 +94,41 @@ def spans_without_overlap(spans: Column, cap: int = 32) -> Column:
         return F.when(clash | (F.size(acc) >= cap), acc).otherwise(F.concat(acc, F.array(new)))
 
     return F.array_sort(F.aggregate(F.array_sort(ordered), F.array().cast(kind), step))
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = 4096, itself: bool = False) -> DataFrame:
+    """Adds the greatest of each value over the rows before (``itself``: up to and with the row), in two levels.
+
+    Rows are sorted only within a range of ``width`` order values; each range's
+    greatest values are carried over the ranges, which are few.  Null values
+    don't count, null keys are one key; of rows with equal order each comes
+    before the others once, in no fixed order (give them a tie-break).
+    """
+    names = list(values)
+    part = df.withColumns({"_part": F.floor(F.col(order) / width).cast("long")} | {f"_v_{n}": c for n, c in values.items()})
+    tops = part.groupBy(*keys, "_part").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_base_part"), *[F.max(f"_t_{n}").over(before).alias(f"_b_{n}") for n in names])
+    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    own = part.withColumns({f"_o_{n}": F.max(f"_v_{n}").over(within) for n in names})
+    on = F.col("_part") == F.col("_base_part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = own.join(bases, on)
+    return out.select(*[F.col(c) for c in df.columns if c not in names], *[F.greatest(f"_o_{n}", f"_b_{n}").alias(n) for n in names])
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 4096, inclusive: bool = True) -> DataFrame:
+    """As-of backward join: each left row with ``value`` of the last right row at or before it (``inclusive=False``: before it).
+
+    A union of both sides carried forward in two levels, so no task holds a
+    key; of right rows at one place the greatest value counts, and a left row
+    without one before it gets null.
+    """
+    kept = F.struct(*left.columns)
+    place = F.col(order).cast("long")
+    # at one place the right rows come first if they count, else last
+    a = left.select(*keys, (place * 2 + int(inclusive)).alias("_place"), F.lit(None).cast(right.select(F.struct(place.alias("at"), value.alias("v")).alias("x")).schema["x"].dataType).alias("_right"), kept.alias("_left"))
+    b = right.select(*keys, (place * 2 + int(not inclusive)).alias("_place"), F.struct(place.alias("at"), value.alias("v")).alias("_right"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"))
+    got = running_max(a.unionByName(b), keys, "_place", {"_last": F.col("_right")}, 2 * width, itself=True)
+    return got.where("_left is not null").select("_left.*", F.col("_last.v").alias(name))

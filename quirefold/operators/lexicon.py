@@ -6,6 +6,8 @@ executors, and beyond ``BOUND`` terms the words are matched by an equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +35,16 @@ def replace_terms(terms: dict[str, str], match: str = "longest"):
         a.make_automaton()
         return a
 
+    if len(terms) > BOUND:
+        raise ValueError(f"more than {BOUND} terms; use phrases.hits")
+
     @F.pandas_udf("text string, hits array<struct<term:string,start:int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a = automaton() if terms else None
+        for texts in batches:
+            yield replaced(a, texts)
+
+    def replaced(a, texts: pd.Series) -> pd.DataFrame:
         out, hits = [], []
         for t in texts:
             found = sorted(((e - len(s) + 1, e + 1, s) for e, s in a.iter(t)), key=lambda x: (x[0], -x[1] if match == "longest" else x[1])) if a and t else []
@@ -77,16 +86,23 @@ def relevant_terms(text: Column, terms: dict[str, str], cap: int = 32) -> Column
 
 
 def verify_and_fix(source: Column, translated: Column, terms: dict[str, str]) -> Column:
-    """Translation with source terms left in it replaced; struct(text, fixed, missing)."""
-    acc = F.struct(translated.alias("text"), F.lit(0).alias("fixed"), F.array().cast("array<string>").alias("missing"))
-    for src, dst in terms.items():
-        used = F.lower(source).contains(src.lower())
-        ok, fixable = acc["text"].contains(dst), acc["text"].contains(src)
-        acc = F.when(~used | ok, acc).otherwise(
-            F.struct(
-                F.replace(acc["text"], F.lit(src), F.lit(dst)).alias("text"),
-                (acc["fixed"] + fixable.cast("int")).alias("fixed"),
-                F.when(fixable | (F.size(acc["missing"]) >= 10), acc["missing"]).otherwise(F.concat(acc["missing"], F.array(F.lit(f"{src}→{dst}")))).alias("missing"),
-            )
+    """Translation with source terms left in it replaced, term by term; struct(text, fixed, missing).
+
+    A fold over the terms as an array, so the plan does not grow with them.
+    ``missing`` names the first ten terms whose translation is lacking and
+    cannot be put in.
+    """
+    low = F.lower(source)
+    listed = F.array(*[F.struct(F.lit(s).alias("src"), F.lit(d).alias("dst")) for s, d in terms.items()]) if terms else F.array().cast("array<struct<src:string,dst:string>>")
+    start = F.struct(translated.alias("text"), F.lit(0).alias("fixed"), F.array().cast("array<string>").alias("missing"))
+
+    def step(acc: Column, t: Column) -> Column:
+        lacks = F.contains(low, F.lower(t["src"])) & ~F.contains(acc["text"], t["dst"])
+        fixable = F.contains(acc["text"], t["src"])
+        return F.struct(
+            F.when(lacks, F.replace(acc["text"], t["src"], t["dst"])).otherwise(acc["text"]).alias("text"),
+            F.when(lacks & fixable, acc["fixed"] + 1).otherwise(acc["fixed"]).alias("fixed"),
+            F.when(lacks & ~fixable & (F.size(acc["missing"]) < 10), F.concat(acc["missing"], F.array(F.concat(t["src"], F.lit("→"), t["dst"])))).otherwise(acc["missing"]).alias("missing"),
         )
-    return acc
+
+    return F.aggregate(listed, start, step)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.operators import lexicon
+from quirefold.operators import lexicon, phrases
 from quirefold.plans.base import Registry
 from quirefold.session import table
 from quirefold.sources.html import chunk_html
@@ -59,3 +59,48 @@ def lexicon_replaced_all(spark, sf):
 def relevant_terms(spark, sf):
     spans = lexicon.relevant_terms(F.col("text"), {"the": "x", "that": "y", "of": "z"})
     return table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.transform(spans, lambda s: s["term"])).alias("terms"))
+
+
+_BENCH_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_HITS = rf"""t AS (
+  SELECT DISTINCT n, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT {_BENCH_WORDS} AS w FROM benchmark), unnest(range(2, 9)) AS l(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS s(i) WHERE i + n - 1 <= len(w)
+), g AS (
+  SELECT doc_id, i - 1 AS start, n, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), unnest(range(2, 9)) AS l(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS s(i) WHERE i + n - 1 <= len(w)
+), h AS (
+  SELECT doc_id, start, n, term FROM g JOIN t USING (n, term)
+)"""
+
+
+def _phrases(spark, sf):
+    """All different runs of two to eight words of the benchmark's texts."""
+    w = table(spark, sf, "benchmark").select(phrases.words(F.col("text")).alias("w"))
+
+    def runs(n: int):
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+    return w.select(F.explode(F.concat(*[runs(n) for n in range(2, 9)])).alias("term")).distinct()
+
+
+@R.add("phrase_counts", f"WITH {_HITS} SELECT doc_id, count(*) AS hits, count(DISTINCT term) AS terms, CAST(max(n) AS INTEGER) AS longest FROM h GROUP BY doc_id")
+def phrase_counts(spark, sf):
+    """How often, and how many different, phrases of the benchmark occur in each document."""
+    h = phrases.hits(table(spark, sf, "documents"), _phrases(spark, sf), "doc_id", "text")
+    return h.groupBy("doc_id").agg(F.count("*").alias("hits"), F.count_distinct("term").alias("terms"), F.max("length").alias("longest"))
+
+
+@R.add(
+    "phrase_spans",
+    f"""WITH RECURSIVE {_HITS}, b AS (
+  SELECT doc_id, start, max(n) AS n, arg_max(term, n) AS term FROM h GROUP BY doc_id, start
+), f AS (
+  SELECT b.doc_id, b.start, b.n, b.term, (SELECT min(c.start) FROM b AS c WHERE c.doc_id = b.doc_id AND c.start >= b.start + b.n) AS next FROM b
+), r AS (
+  SELECT f.* FROM f JOIN (SELECT doc_id, min(start) AS start FROM b GROUP BY doc_id) USING (doc_id, start)
+  UNION ALL SELECT f.* FROM r JOIN f ON f.doc_id = r.doc_id AND f.start = r.next
+)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS length, term FROM r""",
+)
+def phrase_spans(spark, sf):
+    """The phrases of the benchmark in every document, leftmost and longest, without overlap."""
+    return phrases.leftmost_longest(phrases.hits(table(spark, sf, "documents"), _phrases(spark, sf), "doc_id", "text"), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.session import table
@@ -30,22 +30,46 @@ class Registry:
         return register
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Inline rows, for text forms that the tables lack."""
-    return spark.createDataFrame(rows, schema)
+#: A page's title in plain letters, and its SQL.
+TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[^A-Za-z ]', '', 'g'))"
 
 
-def values_sql(rows: list[tuple], names: str) -> str:
-    """The same rows as an SQL VALUES table."""
+def plain_title() -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), "[^A-Za-z ]", ""))
+
+
+def forms(spark: SparkSession, sf: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Every page in one of some text forms that the tables lack, with the page's title for {t} and its number for {n}."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), plain_title().alias("t"))
+    at = (F.col("id") % len(rows)).cast("int") + 1
+    out = [F.col("id")]
+    for k, (name, kind) in enumerate((c.split(" ", 1) for c in schema.split(", ")[1:]), 1):
+        value = F.get(F.array(*[F.array(*map(F.lit, r[k])) if isinstance(r[k], list) else F.lit(r[k]) for r in rows]).cast(f"array<{kind}>"), at - 1)
+        if kind == "string":
+            value = F.replace(F.replace(value, F.lit("{t}"), F.col("t")), F.lit("{n}"), F.col("id").cast("string"))
+        out.append(value.alias(name))
+    return p.select(*out)
+
+
+def forms_sql(rows: list[tuple], names: str) -> str:
+    """The same as an SQL table."""
 
     def one(v) -> str:
         if v is None:
             return "NULL"
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
+        if isinstance(v, list):
+            return "[" + ", ".join(map(one, v)) + "]"
         return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
-    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({names})"
+    cols = ["page_id AS id"]
+    for k, name in enumerate(names.split(", ")[1:], 1):
+        value = "[" + ", ".join(one(r[k]) for r in rows) + f"][CAST(page_id % {len(rows)} AS INTEGER) + 1]"
+        if all(r[k] is None or isinstance(r[k], str) for r in rows):
+            value = f"replace(replace({value}, '{{t}}', title), '{{n}}', CAST(page_id AS VARCHAR))"
+        cols.append(f"{value} AS {name}")
+    return f"(SELECT {', '.join(cols)} FROM (SELECT page_id, {TITLE} AS title FROM pages)) AS t"
 
 
 # Bridges from the driver's tables to the shapes of a translation service.

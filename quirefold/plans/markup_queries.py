@@ -1,4 +1,4 @@
-"""Queries on markup, names and job rules; forms that the tables lack are inline rows in both engines."""
+"""Queries on markup, names and job rules; forms that the tables lack are set around each page's title or number."""
 
 from __future__ import annotations
 
@@ -7,46 +7,49 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import markup
 from quirefold.operators import ordered
-from quirefold.plans.base import CHUNKS, JOBS, Registry, chunks, jobs, literal_rows, values_sql
+from quirefold.plans.base import CHUNKS, JOBS, Registry, chunks, forms, forms_sql, jobs
 from quirefold.session import table
 
 R = Registry()
 
-_TABLES = [(1, "<p>a</p><table><tr/></table>"), (2, '<div class="epub-table-wrap"><table></table></div>'), (3, "none")]
+_TABLES = [(1, "<p>{t}</p><table><tr/>{n}</table>{t}<TABLE>x</TABLE>"), (2, '<div class="epub-table-wrap"><table>{t}</table></div>'), (3, "{t}")]
 
 
-@R.add("wrapped_tables")
+@R.add("wrapped_tables", rf"""SELECT id, CASE WHEN contains(html, 'epub-table-wrap') THEN html ELSE regexp_replace(html, '(?is)(<table\b[^>]*>.*?</table>)', '<div class="epub-table-wrap">\1</div>', 'g') END AS html FROM {forms_sql(_TABLES, "id, html")}""")
 def wrapped_tables(spark, sf):
-    return literal_rows(spark, _TABLES, "id int, html string").select("id", markup.wrap_tables(F.col("html")).alias("html"))
+    return forms(spark, sf, _TABLES, "id int, html string").select("id", markup.wrap_tables(F.col("html")).alias("html"))
 
 
-_MATH = [(1, "<math><mi>x</mi></math>"), (2, '<math display="block"/>'), (3, '<svg width="1"><g/></svg>')]
+_MATH = [(1, "<math><mi>{t}</mi></math>"), (2, '<math display="block"/>{t}'), (3, '<svg width="{n}"><g/></svg>')]
 
 
-@R.add("protected_formulas")
+@R.add(
+    "protected_formulas",
+    rf"""SELECT id, CASE WHEN contains(html, 'display=') THEN html ELSE regexp_replace(regexp_replace(html, '(<math\b[^>]*?)\s*/?>', '\1 display="inline">', 'g'), '(<svg\b[^>]*?)\s*/?>', '\1 overflow="visible">', 'g') END AS html FROM {forms_sql(_MATH, "id, html")}""",
+)
 def protected_formulas(spark, sf):
     h = markup.with_attribute(markup.with_attribute(F.col("html"), "math", "display", "inline"), "svg", "overflow", "visible")
-    return literal_rows(spark, _MATH, "id int, html string").select("id", h.alias("html"))
+    return forms(spark, sf, _MATH, "id int, html string").select("id", h.alias("html"))
 
 
-_CSS = [(1, "a{color: red; border: 0.5px solid; hyphens: auto}"), (2, "b{background-color: #eee; opacity: .5; color: black;}"), (3, "c{border-top: 2.7px}\nhyphens: auto\n  column-gap: 1em")]
+_CSS = [(1, "a{color: red; border: 0.5px solid; hyphens: auto} /* {t} */"), (2, "b{background-color: #eee; opacity: .{n}; color: black;}"), (3, "c{border-top: {n}.7px}\nhyphens: auto\n  column-gap: {n}em")]
 
 
 @R.add("device_css")
 def device_css(spark, sf):
-    d = literal_rows(spark, _CSS, "id int, css string")
+    d = forms(spark, sf, _CSS, "id int, css string")
     return d.select("id", markup.kindle_css(F.col("css")).alias("kindle"), markup.apple_css(F.col("css")).alias("apple"))
 
 
-_DOC = [(1, '<?xml version="1.0"?><!DOCTYPE html PUBLIC "x" "y"><html xmlns=""><p/></html>'), (2, "<!DOCTYPE html><p/>")]
+_DOC = [(1, '<?xml version="1.0"?><!DOCTYPE html PUBLIC "x" "y"><html xmlns=""><p/>{t}</html>'), (2, "<!DOCTYPE html><p/>{t}")]
 
 
 @R.add(
     "repaired_documents",
-    f"""SELECT id, regexp_replace(regexp_replace(html, '(?is)<!DOCTYPE\\s+html\\s+(?:PUBLIC|SYSTEM)[^>]*>', '<!DOCTYPE html>'), '\\s+xmlns=""', '', 'g') AS html FROM {values_sql(_DOC, "id, html")}""",
+    f"""SELECT id, regexp_replace(regexp_replace(html, '(?is)<!DOCTYPE\\s+html\\s+(?:PUBLIC|SYSTEM)[^>]*>', '<!DOCTYPE html>'), '\\s+xmlns=""', '', 'g') AS html FROM {forms_sql(_DOC, "id, html")}""",
 )
 def repaired_documents(spark, sf):
-    return literal_rows(spark, _DOC, "id int, html string").select("id", markup.repaired(F.col("html")).alias("html"))
+    return forms(spark, sf, _DOC, "id int, html string").select("id", markup.repaired(F.col("html")).alias("html"))
 
 
 @R.add(
@@ -57,20 +60,27 @@ def repaired_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", markup.repaired(F.col("html")).alias("html"))
 
 
-_PACK = [(1, ["mimetype", "a"], False, 0, 0), (2, ["a", "mimetype"], True, 2, 1), (3, ["a"], False, 0, 0)]
+_PACK = [(1, ["mimetype", "a"], False, 0, 0), (2, ["a", "mimetype"], True, 2, 1), (3, ["a"], False, 0, 0), (4, ["mimetype"], True, 0, 3)]
 
 
-@R.add("package_issues")
+@R.add(
+    "package_issues",
+    f"""SELECT id, array_to_string(list_filter([CASE WHEN names[1] <> 'mimetype' THEN 'PKG-006' END, CASE WHEN list_contains(names, 'mimetype') AND z THEN 'PKG-006' END, CASE WHEN d > 0 THEN 'HTM-004' END, CASE WHEN n > 0 THEN 'RSC-005' END], lambda x: x IS NOT NULL), ',') AS issues
+FROM {forms_sql(_PACK, "id, names, z, d, n")}""",
+)
 def package_issues(spark, sf):
-    d = literal_rows(spark, _PACK, "id int, names array<string>, z boolean, d int, n int")
+    d = forms(spark, sf, _PACK, "id int, names array<string>, z boolean, d int, n int")
     return d.select("id", F.array_join(markup.issues(*(F.col(c) for c in ("names", "z", "d", "n"))), ",").alias("issues"))
 
 
-@R.add("tag_round_trip", "SELECT page_id, html FROM pages WHERE false")
+@R.add(
+    "tag_round_trip",
+    r"""SELECT page_id, sha256(html) AS restored, len(regexp_extract_all(html, '(?i)</?[a-z][^>]*>')) - len(regexp_extract_all(html, '(?i)</?(?:p|div|h[1-6]|li|blockquote)\b[^>]*>')) AS tags FROM pages""",
+)
 def tag_round_trip(spark, sf):
-    """Pages that protecting and restoring inline tags would change: none."""
+    """All pages with numbered tags restored, and how many tags were numbered."""
     p = table(spark, sf, "pages").withColumn("p", markup.protected(F.col("html")))
-    return p.where(markup.restored(F.col("p.text"), F.col("p.tags")) != F.col("html")).select("page_id", "html")
+    return p.select("page_id", F.sha2(markup.restored(F.col("p.text"), F.col("p.tags")), 256).alias("restored"), F.size("p.tags").cast("long").alias("tags"))
 
 
 @R.add(
@@ -82,21 +92,21 @@ def singleton_fragments(spark, sf):
     return table(spark, sf, "pages").where(markup.singleton(F.col("html"))).select("page_id")
 
 
-_ANSWERS = [(1, '```json\n{"a": 1,}\n```'), (2, 'Sure! {"a": 2} done'), (3, "no json"), (4, '{"a": 3}')]
-
-
-@R.add("lenient_json", f"""SELECT id, CASE id WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 END AS a FROM {values_sql(_ANSWERS, "id, t")}""")
+@R.add("lenient_json", "SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
 def lenient_json(spark, sf):
-    d = literal_rows(spark, _ANSWERS, "id int, t string").select("id", F.from_json(markup.lenient_json(F.col("t")), "a int").alias("j"))
-    return d.select("id", F.col("j.a").alias("a"))
+    """The objects of all events' properties as a model might answer: fenced, with talk around, a trailing comma, or without JSON."""
+    e, k = table(spark, sf, "events"), F.col("event_id") % 5
+    broken = F.regexp_replace("props", r"\}$", ",}")
+    said = F.when(k == 0, F.concat(F.lit("```json\n"), broken, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure! "), "props", F.lit(" done"))).when(k == 2, F.concat(F.lit(" \n"), broken)).when(k == 3, F.col("props")).otherwise("no json")
+    return e.select("event_id", F.from_json(markup.lenient_json(said), "k int")["k"].alias("k"))
 
 
-_SPACE = [(1, "  a ", "b"), (2, "\n", ""), (3, "x", " y ")]
+_SPACE = [(1, "  {t} ", "b{n}"), (2, "\n", ""), (3, "{t}", " y {n} ")]
 
 
-@R.add("kept_space", rf"""SELECT id, CASE WHEN trim(b) = '' THEN a ELSE regexp_extract(a, '^\s*') || trim(b) || regexp_extract(a, '\s*$') END AS t FROM {values_sql(_SPACE, "id, a, b")}""")
+@R.add("kept_space", rf"""SELECT id, CASE WHEN trim(b) = '' THEN a ELSE regexp_extract(a, '^\s*') || trim(b) || regexp_extract(a, '\s*$') END AS t FROM {forms_sql(_SPACE, "id, a, b")}""")
 def kept_space(spark, sf):
-    return literal_rows(spark, _SPACE, "id int, a string, b string").select("id", markup.keeps_space(F.col("a"), F.col("b")).alias("t"))
+    return forms(spark, sf, _SPACE, "id int, a string, b string").select("id", markup.keeps_space(F.col("a"), F.col("b")).alias("t"))
 
 
 @R.add("chapter_ids", r"""SELECT page_id, CASE WHEN s = '' THEN 'chapter' ELSE s END AS chapter_id FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '[^\p{L}\p{N}_]', '_', 'g') AS s FROM pages)""")
@@ -110,12 +120,14 @@ def output_suffixes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", markup.output_suffix(s % 2 == 0, s % 3 == 0, F.lit("en"), s % 5 == 0).alias("suffix"))
 
 
-_PHONES = [(1, "13800000000"), (2, "8613800000000"), (3, "+15550001"), (4, " 139 ")]
+_PHONE = r"\+?[0-9]{7,13}"
 
 
-@R.add("phones", f"SELECT id, CASE WHEN starts_with(trim(p), '+') THEN trim(p) WHEN starts_with(trim(p), '86') AND length(trim(p)) = 13 THEN '+' || trim(p) ELSE '+86' || trim(p) END AS phone FROM {values_sql(_PHONES, 'id, p')}")
+@R.add("phones", f"WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PHONE}')) AS p FROM documents) SELECT doc_id, p AS found, CASE WHEN starts_with(p, '+') THEN p WHEN starts_with(p, '86') AND length(p) = 13 THEN '+' || p ELSE '+86' || p END AS phone FROM d")
 def phones(spark, sf):
-    return literal_rows(spark, _PHONES, "id int, p string").select("id", markup.e164(F.col("p")).alias("phone"))
+    """Numbers met in all documents in international form."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_PHONE})"), F.lit(1))).alias("found"))
+    return d.select("doc_id", "found", markup.e164(F.col("found")).alias("phone"))
 
 
 @R.add("cropped_documents", "SELECT doc_id, CASE WHEN n <= 3 AND long THEN text ELSE '' END AS text FROM (SELECT doc_id, text, length(text) > 500 AS long, count_if(length(text) > 500) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS n FROM documents)")

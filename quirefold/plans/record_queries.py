@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import quality, text
 from quirefold.operators import ordered
-from quirefold.plans.base import CHUNKS, JOBS, LINES, PAIRS, Registry, chunks, jobs, lines, literal_rows, pairs, values_sql
+from quirefold.plans.base import CHUNKS, JOBS, LINES, PAIRS, Registry, chunks, forms, forms_sql, jobs, lines, pairs
 from quirefold.session import table
 
 R = Registry()
 
-_RAW = [(1, '<a id="page_1"/>x<a id="page_2"/>y<a id="t1"/>', "t1"), (2, '<a id="t2"/><a id="page_9"/>', "t2"), (3, "none", "t3")]
+_RAW = [(1, '<a id="page_1"/>{t}<a id="page_{n}"/>y<a id="t1"/>', "t1"), (2, '<a id="t2"/><a id="page_9"/>', "t2"), (3, "{t}", "t3")]
 
 
 @R.add(
     "page_before_anchor",
-    rf"""SELECT id, list_extract(regexp_extract_all(CASE WHEN instr(raw, 'id="' || target || '"') > 0 THEN left(raw, instr(raw, 'id="' || target || '"') - 1) ELSE '' END, 'id="(page_\d+)"', 1), -1) AS page FROM {values_sql(_RAW, "id, raw, target")}""",
+    rf"""SELECT id, list_extract(regexp_extract_all(CASE WHEN instr(raw, 'id="' || target || '"') > 0 THEN left(raw, instr(raw, 'id="' || target || '"') - 1) ELSE '' END, 'id="(page_\d+)"', 1), -1) AS page FROM {forms_sql(_RAW, "id, raw, target")}""",
 )
 def page_before_anchor(spark, sf):
     """As-of before an offset: the last page anchor ahead of the target."""
-    d = literal_rows(spark, _RAW, "id int, raw string, target string")
+    d = forms(spark, sf, _RAW, "id int, raw string, target string")
     at = F.expr("""instr(raw, concat('id="', target, '"'))""")
     head = F.when(at > 0, F.left("raw", at - 1)).otherwise("")
     pages = F.regexp_extract_all(head, F.lit(r'id="(page_\d+)"'), F.lit(1))
@@ -131,14 +131,14 @@ def signed_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[+-]?[0-9]+(?:[.,][0-9]+)*")).cast("long").alias("n"))
 
 
-_LOC = [(1, "/html[1]/body[1]/p[3]"), (2, "/body[1]/div[2]"), (3, "")]
+_LOC = [(1, "/html[1]/body[1]/p[{n}]"), (2, "/body[1]/div[2{n}]"), (3, "")]
 
 
-@R.add("locator_steps", rf"WITH s AS (SELECT id, unnest(regexp_extract_all(l, '/([a-z0-9]+)\[\d+\]', 1)) AS tag, unnest(regexp_extract_all(l, '/[a-z0-9]+\[(\d+)\]', 1)) AS n FROM {values_sql(_LOC, 'id, l')}) SELECT id, tag, CAST(n AS INTEGER) AS n FROM s")
+@R.add("locator_steps", rf"WITH s AS (SELECT id, unnest(regexp_extract_all(l, '/([a-z0-9]+)\[\d+\]', 1)) AS tag, unnest(regexp_extract_all(l, '/[a-z0-9]+\[(\d+)\]', 1)) AS n FROM {forms_sql(_LOC, 'id, l')}) SELECT id, tag, CAST(n AS INTEGER) AS n FROM s")
 def locator_steps(spark, sf):
     """Locators taken apart into steps."""
     steps = F.regexp_extract_all("l", F.lit(r"/([a-z0-9]+\[\d+\])"), F.lit(1))
-    d = literal_rows(spark, _LOC, "id int, l string").select("id", F.explode(steps).alias("s"))
+    d = forms(spark, sf, _LOC, "id int, l string").select("id", F.explode(steps).alias("s"))
     return d.select("id", F.substring_index("s", "[", 1).alias("tag"), F.regexp_extract("s", r"\[(\d+)\]", 1).cast("int").alias("n"))
 
 
@@ -147,12 +147,12 @@ def term_positions(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.locate("the", F.lower("text")).cast("long").alias("first"))
 
 
-_TIMES = [(1, "2024-01-02T03:04:05Z"), (2, "2024-01-02T03:04:05+02:00"), (3, "no time"), (4, None)]
-
-
-@R.add("iso_times", f"SELECT id, CASE id WHEN 1 THEN 1704164645 WHEN 2 THEN 1704157445 END AS epoch FROM {values_sql([(i,) for i, _ in _TIMES], 'id')}", big="epoch")
+@R.add("iso_times", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) - 7200 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS epoch FROM events")
 def iso_times(spark, sf):
-    return literal_rows(spark, _TIMES, "id int, t string").select("id", F.unix_seconds(F.try_to_timestamp("t")).alias("epoch"))
+    """Event times written in ISO form, in UTC or two hours ahead of it, and read back; what is no time is null."""
+    k, t = F.col("event_id") % 4, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, F.concat(t, F.lit("Z"))).when(k == 1, F.concat(t, F.lit("+02:00"))).when(k == 2, F.concat(t, F.lit("+00:00"))).otherwise("no time")
+    return table(spark, sf, "events").select("event_id", F.unix_seconds(F.try_to_timestamp(said)).alias("epoch"))
 
 
 @R.add("equal_amounts", "SELECT o_orderkey FROM orders WHERE round(o_totalprice * 100) % 2 = 0")
@@ -173,13 +173,13 @@ def worst_risks(spark, sf):
     return chunks(spark, sf).groupBy("job_id").agg(F.element_at(F.array(*map(F.lit, ("ok", "warn", "fail"))), level + 1).alias("risk"))
 
 
-_OPTIONS = [(1, " High ", None), (2, "", "fresh"), (3, "weird", "REUSE")]
+_OPTIONS = [(1, " High ", None), (2, "", "fresh"), (3, "{t}", "REUSE"), (4, "literary", "{t}")]
 
 
-@R.add("normal_options", f"SELECT id, CASE WHEN lower(trim(q)) IN ('standard', 'high', 'literary') THEN lower(trim(q)) ELSE 'standard' END AS quality, CASE WHEN lower(coalesce(p, '')) IN ('fresh', 'reuse', 'verified') THEN lower(p) ELSE 'reuse' END AS policy FROM {values_sql(_OPTIONS, 'id, q, p')}")
+@R.add("normal_options", f"SELECT id, CASE WHEN lower(trim(q)) IN ('standard', 'high', 'literary') THEN lower(trim(q)) ELSE 'standard' END AS quality, CASE WHEN lower(coalesce(p, '')) IN ('fresh', 'reuse', 'verified') THEN lower(p) ELSE 'reuse' END AS policy FROM {forms_sql(_OPTIONS, 'id, q, p')}")
 def normal_options(spark, sf):
     q, p = F.lower(F.trim("q")), F.lower("p")
-    d = literal_rows(spark, _OPTIONS, "id int, q string, p string")
+    d = forms(spark, sf, _OPTIONS, "id int, q string, p string")
     return d.select("id", F.when(q.isin("standard", "high", "literary"), q).otherwise("standard").alias("quality"), F.when(p.isin("fresh", "reuse", "verified"), p).otherwise("reuse").alias("policy"))
 
 
@@ -225,16 +225,16 @@ def css_injection(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.when(first, " /* injected */").otherwise("")).alias("css"))
 
 
-_SVG = [(1, '<svg viewbox="0 0 1 1" preserveaspectratio="none">'), (2, "<lineargradient/>")]
+_SVG = [(1, '<svg viewbox="0 0 {n} 1" preserveaspectratio="none">{t}'), (2, "<lineargradient/>{t}")]
 # SVG names whose capitals parsers lose (the ones met in books).
 SVG_NAMES = {"viewbox": "viewBox", "preserveaspectratio": "preserveAspectRatio", "lineargradient": "linearGradient", "clippath": "clipPath"}
 
 
-@R.add("svg_names", f"SELECT id, replace(replace(replace(replace(s, 'viewbox', 'viewBox'), 'preserveaspectratio', 'preserveAspectRatio'), 'lineargradient', 'linearGradient'), 'clippath', 'clipPath') AS s FROM {values_sql(_SVG, 'id, s')}")
+@R.add("svg_names", f"SELECT id, replace(replace(replace(replace(s, 'viewbox', 'viewBox'), 'preserveaspectratio', 'preserveAspectRatio'), 'lineargradient', 'linearGradient'), 'clippath', 'clipPath') AS s FROM {forms_sql(_SVG, 'id, s')}")
 def svg_names(spark, sf):
     from quirefold.functions.markup import replaced_marks
 
-    return literal_rows(spark, _SVG, "id int, s string").select("id", replaced_marks(F.col("s"), SVG_NAMES).alias("s"))
+    return forms(spark, sf, _SVG, "id int, s string").select("id", replaced_marks(F.col("s"), SVG_NAMES).alias("s"))
 
 
 @R.add("cache_policies", f"WITH {CHUNKS}, c AS (SELECT job_id, min(sequence) AS sequence FROM chunks WHERE status = 'cached' GROUP BY job_id) SELECT k.job_id, k.sequence, CASE WHEN k.retry_count = 0 THEN 'miss' WHEN c.sequence = k.sequence THEN 'exact' WHEN c.sequence IS NOT NULL THEN 'compatible' ELSE 'miss' END AS hit FROM chunks k LEFT JOIN c ON c.job_id = k.job_id")
@@ -251,14 +251,14 @@ def escalated_models(spark, sf):
     return chunks(spark, sf).select("job_id", "sequence", F.when((F.col("retry_count") >= 1) & (F.col("chapter_id") != 0), "fallback").otherwise("primary").alias("model"))
 
 
-_CSV = [(1, "a, b,a,, c"), (2, ""), (3, "x")]
+_CSV = [(1, "a, {t},a,, {n}"), (2, ""), (3, "{t},x, {t} ")]
 
 
-@R.add("distinct_lists", f"SELECT id, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(v, ','), lambda y: trim(y)), x) = i), ',') AS v FROM {values_sql(_CSV, 'id, v')}")
+@R.add("distinct_lists", f"SELECT id, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(v, ','), lambda y: trim(y)), x) = i), ',') AS v FROM {forms_sql(_CSV, 'id, v')}")
 def distinct_lists(spark, sf):
     """Comma lists: trimmed, blank entries out, first of equals kept."""
     v = F.array_distinct(F.filter(F.transform(F.split("v", ","), lambda x: F.trim(x)), lambda x: x != ""))
-    return literal_rows(spark, _CSV, "id int, v string").select("id", F.array_join(v, ",").alias("v"))
+    return forms(spark, sf, _CSV, "id int, v string").select("id", F.array_join(v, ",").alias("v"))
 
 
 @R.add("report_visibility", f"WITH {JOBS} SELECT job_id, status <> 'running' AS visible, coalesce(error_code, '') = 'PARTIAL_TRANSLATION' AS partial FROM jobs")
@@ -271,12 +271,12 @@ def notifications(spark, sf):
     return table(spark, sf, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"))
 
 
-_SITEMAP = [(1, "<urlset><url><loc>a</loc></url><url><loc>b</loc></url></urlset>")]
+_SITEMAP = [(1, "<urlset><url><loc>a{n}</loc></url><url><loc>{t}</loc></url></urlset>"), (2, "<urlset><url><loc>b{n}</loc></url></urlset>"), (3, "<urlset/>")]
 
 
-@R.add("sitemap_urls", f"SELECT id, unnest(regexp_extract_all(x, '<loc>(.*?)</loc>', 1)) AS url FROM {values_sql(_SITEMAP, 'id, x')}")
+@R.add("sitemap_urls", f"SELECT id, unnest(regexp_extract_all(x, '<loc>(.*?)</loc>', 1)) AS url FROM {forms_sql(_SITEMAP, 'id, x')}")
 def sitemap_urls(spark, sf):
-    return literal_rows(spark, _SITEMAP, "id int, x string").select("id", F.explode(F.xpath("x", F.lit("//loc/text()"))).alias("url"))
+    return forms(spark, sf, _SITEMAP, "id int, x string").select("id", F.explode(F.xpath("x", F.lit("//loc/text()"))).alias("url"))
 
 
 @R.add("translatable_titles", "SELECT page_id, regexp_matches(url, '[A-Za-z]') AS translate FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.functions import quality, text
-from quirefold.plans.base import LINES, PAIRS, Registry, lines, literal_rows, pairs, values_sql
+from quirefold.plans.base import LINES, PAIRS, Registry, forms, forms_sql, lines, pairs
 from quirefold.session import table
 
 R = Registry()
@@ -342,37 +342,37 @@ def extraction_stats(spark, sf):
     return term_candidates(table(spark, sf, "documents")).agg(F.count("*").alias("kept"), F.sum("count").alias("mentions"))
 
 
-# Forms that the tables lack, as inline rows in both engines.
+# Forms that the tables lack, one of them for each page, with its title or number inside.
 
-_CSS = [(1, "p{writing-mode: vertical-rl;color:red}"), (2, "p{-webkit-writing-mode:VERTICAL-LR; direction: rtl}"), (3, "h1{text-orientation: upright}"), (4, "b{writing-mode: horizontal-tb;}")]
+_CSS = [(1, "p{writing-mode: vertical-rl;color:red} /* {t} */"), (2, "p.n{n}{-webkit-writing-mode:VERTICAL-LR; direction: rtl}"), (3, "h1{text-orientation: upright} /* {t} */"), (4, "b{writing-mode: horizontal-tb;}")]
 
 
 @R.add(
     "horizontal_css",
     rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(css, '(?i)(-webkit-|-epub-)?writing-mode\s*:\s*vertical-(?:lr|rl)\s*;?', '\1writing-mode: horizontal-tb;', 'g'),
-  '(?i)text-orientation\s*:\s*upright\s*;?', 'text-orientation: mixed;', 'g'), '(?i)direction\s*:\s*rtl\s*;?', 'direction: ltr;', 'g') AS css FROM {values_sql(_CSS, "id, css")}""",
+  '(?i)text-orientation\s*:\s*upright\s*;?', 'text-orientation: mixed;', 'g'), '(?i)direction\s*:\s*rtl\s*;?', 'direction: ltr;', 'g') AS css FROM {forms_sql(_CSS, "id, css")}""",
 )
 def horizontal_css(spark, sf):
-    return literal_rows(spark, _CSS, "id int, css string").select("id", text.horizontal_css(F.col("css")).alias("css"))
+    return forms(spark, sf, _CSS, "id int, css string").select("id", text.horizontal_css(F.col("css")).alias("css"))
 
 
-_MARKS = [(1, "﹁天︐地﹂"), (2, "︵a︶︽b︾︖"), (3, "plain")]
+_MARKS = [(1, "﹁天{n}︐地{t}﹂"), (2, "︵{t}︶︽b︾︖"), (3, "{t}")]
 
 
-@R.add("upright_punctuation", f"SELECT id, translate(t, '{text.VERTICAL_MARKS}', '{text.UPRIGHT_MARKS}') AS t FROM {values_sql(_MARKS, 'id, t')}")
+@R.add("upright_punctuation", f"SELECT id, translate(t, '{text.VERTICAL_MARKS}', '{text.UPRIGHT_MARKS}') AS t FROM {forms_sql(_MARKS, 'id, t')}")
 def upright_punctuation(spark, sf):
-    return literal_rows(spark, _MARKS, "id int, t string").select("id", text.upright_punctuation(F.col("t")).alias("t"))
+    return forms(spark, sf, _MARKS, "id int, t string").select("id", text.upright_punctuation(F.col("t")).alias("t"))
 
 
-_STYLES = [(1, "font-family: Arial; color: red"), (2, "line-height: 12px;"), (3, "background-color: #fff; line-height: 1.5"), (4, "")]
+_STYLES = [(1, "font-family: {t}; color: red"), (2, "line-height: {n}px;"), (3, "background-color: #fff; line-height: 1.{n}"), (4, "")]
 
 
 @R.add(
     "clean_styles",
-    rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)font-family\s*:[^;]+;?', '', 'g'), '(?i)line-height\s*:\s*\d+px;?', '', 'g'), '(?i)background-color\s*:[^;]+;?', '', 'g')) AS s FROM {values_sql(_STYLES, "id, s")}""",
+    rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)font-family\s*:[^;]+;?', '', 'g'), '(?i)line-height\s*:\s*\d+px;?', '', 'g'), '(?i)background-color\s*:[^;]+;?', '', 'g')) AS s FROM {forms_sql(_STYLES, "id, s")}""",
 )
 def clean_styles(spark, sf):
-    return literal_rows(spark, _STYLES, "id int, s string").select("id", text.clean_style(F.col("s")).alias("s"))
+    return forms(spark, sf, _STYLES, "id int, s string").select("id", text.clean_style(F.col("s")).alias("s"))
 
 
 @R.add("typography")
@@ -380,27 +380,27 @@ def typography(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.typography(F.col("html")).alias("html"))
 
 
-_NAMES = [(1, "C:\\x\\my:book?.epub"), (2, "/tmp/..hidden.txt"), (3, ""), (4, "a" * 150 + ".epub"), (5, "no extension"), (6, "書 名.epub")]
+_NAMES = [(1, "C:\\x\\my:{t}?.epub"), (2, "/tmp/..{t}.txt"), (3, ""), (4, "a" * 150 + "{n}.epub"), (5, "no extension {t}"), (6, "書 名{n}.epub")]
 
 
 @R.add(
     "safe_names",
-    rf"""WITH b AS (SELECT id, trim(regexp_replace(regexp_replace(trim(regexp_replace(list_extract(regexp_split_to_array(name, '[/\\]'), -1), '[<>:"|?*]', '_', 'g')), '^\.+', ''), '\s+', ' ', 'g')) AS n FROM {values_sql(_NAMES, "id, name")})
+    rf"""WITH b AS (SELECT id, trim(regexp_replace(regexp_replace(trim(regexp_replace(list_extract(regexp_split_to_array(name, '[/\\]'), -1), '[<>:"|?*]', '_', 'g')), '^\.+', ''), '\s+', ' ', 'g')) AS n FROM {forms_sql(_NAMES, "id, name")})
 SELECT id, CASE WHEN n = '' THEN 'upload.bin' WHEN contains(n, '.') THEN rtrim(left(regexp_extract(n, '^(.*)\.([^.]*)$', 1), 120)) || '.' || regexp_extract(n, '^(.*)\.([^.]*)$', 2) ELSE rtrim(left(n, 120)) END AS name FROM b""",
 )
 def safe_names(spark, sf):
-    return literal_rows(spark, _NAMES, "id int, name string").select("id", text.safe_name(F.col("name")).alias("name"))
+    return forms(spark, sf, _NAMES, "id int, name string").select("id", text.safe_name(F.col("name")).alias("name"))
 
 
-_HREFS = [(1, "./text/a%20b.xhtml#c1"), (2, "../x.html"), (3, "y.html#"), (4, "#top")]
+_HREFS = [(1, "./text/a%20{n}.xhtml#c1"), (2, "../x{n}.html"), (3, "y{n}.html#"), (4, "#top{n}")]
 
 
 @R.add(
     "href_parts",
-    f"WITH u AS (SELECT id, url_decode(h) AS h FROM {values_sql(_HREFS, 'id, h')}) SELECT id, regexp_replace(split_part(h, '#', 1), '^[./]+', '') AS file, CASE WHEN contains(h, '#') THEN regexp_extract(h, '#(.*)$', 1) ELSE '' END AS fragment FROM u",
+    f"WITH u AS (SELECT id, url_decode(h) AS h FROM {forms_sql(_HREFS, 'id, h')}) SELECT id, regexp_replace(split_part(h, '#', 1), '^[./]+', '') AS file, CASE WHEN contains(h, '#') THEN regexp_extract(h, '#(.*)$', 1) ELSE '' END AS fragment FROM u",
 )
 def href_parts(spark, sf):
-    return literal_rows(spark, _HREFS, "id int, h string").select("id", text.href_parts(F.col("h")).alias("p")).select("id", "p.file", "p.fragment")
+    return forms(spark, sf, _HREFS, "id int, h string").select("id", text.href_parts(F.col("h")).alias("p")).select("id", "p.file", "p.fragment")
 
 
 @R.add(
@@ -414,67 +414,69 @@ def page_href_parts(spark, sf):
     return h.select("page_id", "h", text.href_parts(F.col("h")).alias("p")).select("page_id", "h", "p.file", "p.fragment")
 
 
-_NOTES = [(1, '<a href="part0062.html#ch26fn1">1</a>'), (2, '<a href="x.html#n1">'), (3, None)]
+_NOTES = [(1, '<a href="part0062.html#ch{n}fn1">1</a> {t}'), (2, '<a href="x.html#n1">{t}'), (3, None)]
 
 
 @R.add(
     "footnote_references",
-    rf"""SELECT id, nullif(regexp_extract(h, 'href=["'']([^"'']+?\.x?html#(ch(\d+)fn(\d+)))["'']', 2), '') AS anchor, TRY_CAST(regexp_extract(h, 'href=["'']([^"'']+?\.x?html#(ch(\d+)fn(\d+)))["'']', 3) AS INTEGER) AS chapter FROM {values_sql(_NOTES, "id, h")}""",
+    rf"""SELECT id, nullif(regexp_extract(h, 'href=["'']([^"'']+?\.x?html#(ch(\d+)fn(\d+)))["'']', 2), '') AS anchor, TRY_CAST(regexp_extract(h, 'href=["'']([^"'']+?\.x?html#(ch(\d+)fn(\d+)))["'']', 3) AS INTEGER) AS chapter FROM {forms_sql(_NOTES, "id, h")}""",
 )
 def footnote_references(spark, sf):
-    return literal_rows(spark, _NOTES, "id int, h string").select("id", text.footnote(F.col("h")).alias("f")).select("id", "f.anchor", "f.chapter")
+    return forms(spark, sf, _NOTES, "id int, h string").select("id", text.footnote(F.col("h")).alias("f")).select("id", "f.anchor", "f.chapter")
 
 
-_IPS = [(1, "192.168.1.77"), (2, "256.1.1.1"), (3, "::1"), (4, ""), (5, "10.0.0.1")]
+_IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|::1"
 
 
-@R.add("masked_ips", f"SELECT id, CASE WHEN regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.|$)){{4}}') THEN regexp_replace(ip, '\\.[0-9]+$', '.0') ELSE '' END AS ip FROM {values_sql(_IPS, 'id, ip')}")
+@R.add("masked_ips", rf"WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS ip FROM documents) SELECT doc_id, ip AS found, CASE WHEN list_bool_and(list_transform(string_split(ip, '.'), lambda x: len(string_split(ip, '.')) = 4 AND TRY_CAST(x AS INTEGER) <= 255 AND CAST(TRY_CAST(x AS INTEGER) AS VARCHAR) = x)) THEN regexp_replace(ip, '\.[0-9]+$', '.0') ELSE '' END AS ip FROM d")
 def masked_ips(spark, sf):
-    return literal_rows(spark, _IPS, "id int, ip string").select("id", text.masked_ip(F.col("ip")).alias("ip"))
-
-
-_DELTA = [(1, "<p><em>a</em><a>b</a></p>", "<p>a b</p>"), (2, "<p>x</p>", "<p>x</p>"), (3, "<p><b>x</b></p>", "<p><b>x</b><b>y</b></p>")]
+    """Addresses met in all documents, with the last part zeroed; what is none is blank."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_IP})"), F.lit(1))).alias("found"))
+    return d.select("doc_id", "found", text.masked_ip(F.col("found")).alias("ip"))
 
 
 @R.add(
     "tag_deltas",
-    rf"""WITH t AS (SELECT * FROM {values_sql(_DELTA, "id, a, b")}), x AS (SELECT id, tag, sum(s) AS source, sum(d) AS translated FROM (
-  SELECT id, unnest(regexp_extract_all(a, '<([a-z][a-z0-9]*)', 1)) AS tag, 1 AS s, 0 AS d FROM t UNION ALL SELECT id, unnest(regexp_extract_all(b, '<([a-z][a-z0-9]*)', 1)), 0, 1 FROM t) GROUP BY id, tag)
-SELECT id, tag, CAST(source AS BIGINT) AS source, CAST(translated AS BIGINT) AS translated FROM x WHERE source <> translated""",
+    r"""WITH t AS (SELECT page_id, html AS a, replace(replace(replace(html, '<b>', '<em>'), '<br>', ''), '<p>', '<p><i>') AS b FROM pages), x AS (SELECT page_id, tag, sum(s) AS source, sum(d) AS translated FROM (
+  SELECT page_id, lower(unnest(regexp_extract_all(a, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag, 1 AS s, 0 AS d FROM t UNION ALL SELECT page_id, lower(unnest(regexp_extract_all(b, '<([A-Za-z][A-Za-z0-9]*)', 1))), 0, 1 FROM t) GROUP BY page_id, tag)
+SELECT page_id, tag, CAST(source AS BIGINT) AS source, CAST(translated AS BIGINT) AS translated FROM x WHERE source <> translated""",
 )
 def tag_deltas(spark, sf):
-    d = literal_rows(spark, _DELTA, "id int, a string, b string").select("id", F.explode(text.tag_delta(F.col("a"), F.col("b"))).alias("tag", "v"))
-    return d.select("id", "tag", F.col("v.source").cast("long").alias("source"), F.col("v.translated").cast("long").alias("translated"))
+    """Tags whose counts an edit of each page changes, with both counts."""
+    p = table(spark, sf, "pages")
+    b = F.replace(F.replace(F.replace("html", F.lit("<b>"), F.lit("<em>")), F.lit("<br>"), F.lit("")), F.lit("<p>"), F.lit("<p><i>"))
+    d = p.select("page_id", F.explode(text.tag_delta(F.col("html"), b)).alias("tag", "v"))
+    return d.select("page_id", "tag", F.col("v.source").cast("long").alias("source"), F.col("v.translated").cast("long").alias("translated"))
 
 
-_GLOSSARY_TEXT = [(1, "Smith=史密斯\nLondon: 倫敦\nbad line\n=x\nSmith=史密斯二")]
+_GLOSSARY_TEXT = [(1, "Smith=史密斯{n}\nLondon: 倫敦\nbad line\n=x\nSmith=史密斯二"), (2, "{t}={n}\n{t} : x\n\n a : b=c ")]
 
 
 @R.add(
     "glossary_text",
-    rf"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM {values_sql(_GLOSSARY_TEXT, "id, t")}),
+    rf"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM {forms_sql(_GLOSSARY_TEXT, "id, t")}),
 p AS (SELECT id, n, trim(regexp_extract(line, '^([^=:]*)[=:](.*)$', 1)) AS src, trim(regexp_extract(line, '^([^=:]*)[=:](.*)$', 2)) AS dst FROM l)
 SELECT id, src, arg_max(dst, n) AS dst FROM p WHERE src <> '' AND dst <> '' GROUP BY id, src""",
 )
 def glossary_text(spark, sf):
     """One term a line, split at the first = or :; the last line of a term wins."""
     pattern = r"^([^=:]*)[=:](.*)$"
-    d = literal_rows(spark, _GLOSSARY_TEXT, "id int, t string").select("id", F.posexplode(F.split("t", "\n")).alias("n", "line"))
+    d = forms(spark, sf, _GLOSSARY_TEXT, "id int, t string").select("id", F.posexplode(F.split("t", "\n")).alias("n", "line"))
     d = d.select("id", "n", F.trim(F.regexp_extract("line", pattern, 1)).alias("src"), F.trim(F.regexp_extract("line", pattern, 2)).alias("dst"))
     return d.where("src <> '' and dst <> ''").groupBy("id", "src").agg(F.max_by("dst", "n").alias("dst"))
 
 
-_TIMINGS = [(1, "TranslateMap: 15000 ms\nGlossary: 2000 ms\nTotal: 20000 ms"), (2, "Preprocess: 1000 ms\nReduce: 500 ms")]
+_TIMINGS = [(1, "TranslateMap: 1{n} ms\nGlossary: 2000 ms\nTotal: 20{n} ms"), (2, "Preprocess: 1{n} ms\nReduce: 500 ms")]
 
 
 @R.add(
     "stage_timings",
-    rf"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM {values_sql(_TIMINGS, "id, t")}), p AS (SELECT id, regexp_extract(line, '^(\w+):\s*(\d+)\s*ms', 1) AS stage, TRY_CAST(regexp_extract(line, '^(\w+):\s*(\d+)\s*ms', 2) AS BIGINT) AS ms FROM l)
+    rf"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM {forms_sql(_TIMINGS, "id, t")}), p AS (SELECT id, regexp_extract(line, '^(\w+):\s*(\d+)\s*ms', 1) AS stage, TRY_CAST(regexp_extract(line, '^(\w+):\s*(\d+)\s*ms', 2) AS BIGINT) AS ms FROM l)
 SELECT id, CAST(coalesce(max(ms) FILTER (stage = 'Total'), sum(ms)) AS BIGINT) AS total_ms, CAST(coalesce(sum(ms) FILTER (stage IN ('TranslateMap', 'BookTitle', 'Glossary')), 0) AS BIGINT) AS model_ms FROM p GROUP BY id""",
 )
 def stage_timings(spark, sf):
     """Stage times in a text report: an explicit total wins over the sum."""
-    d = literal_rows(spark, _TIMINGS, "id int, t string").select("id", F.explode(F.split("t", "\n")).alias("line"))
+    d = forms(spark, sf, _TIMINGS, "id int, t string").select("id", F.explode(F.split("t", "\n")).alias("line"))
     pattern = r"^(\w+):\s*(\d+)\s*ms"
     d = d.select("id", F.regexp_extract("line", pattern, 1).alias("stage"), F.expr(rf"try_cast(regexp_extract(line, r'{pattern}', 2) as long)").alias("ms"))
     total = F.coalesce(F.max(F.when(F.col("stage") == "Total", F.col("ms"))), F.sum("ms"))

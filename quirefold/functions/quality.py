@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import any_of, cjk_chars, latin_letters, latin_words, numbers, squeeze
+from quirefold.functions.markup import singleton
+from quirefold.functions.text import any_of, cjk_chars, latin_letters, latin_words, numbers, squeeze, visible_text
 
 # Answers that are an apology or an error and no translation.
 ERROR_MARKERS = ("error:", "rate limit", "cannot translate", "can't translate", "unable to process", "i'm unable", "i am unable", "sorry,")
@@ -82,6 +83,74 @@ def review_reasons(a: Column, b: Column) -> Column:
     )
 
 
+def number_tokens(c: Column) -> Column:
+    """Signed numbers that stand alone (no letter, digit or underscore beside them)."""
+    return F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])[+-]?\d+(?:[.,:/-]\d+)*(?![A-Za-z0-9_])"), F.lit(0))
+
+
+def inline_tags(html: Column) -> Column:
+    """Names of the inline elements of a fragment, sorted."""
+    names = F.transform(F.regexp_extract_all(html, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), F.lower)
+    return F.array_sort(F.filter(names, lambda t: ~t.rlike("^(p|div|h[1-6]|li|blockquote)$")))
+
+
+def invalid_reason(source: Column, translated: Column) -> Column:
+    """The first reason why a fragment's translation cannot be taken, or null."""
+    return (
+        F.when(F.coalesce(translated, F.lit("")) == "", "empty")
+        .when(error_like(translated), "error_response")
+        .when(untranslated_gate(source, translated), "untranslated")
+        .when(inline_tags(source) != inline_tags(translated), "inline_tags")
+    )
+
+
+def _lacking(terms: dict[str, str], source: Column, text: Column, also: Column | None = None) -> Column:
+    """Whether the target of a term that the source holds is missing from a text (and was in ``also``)."""
+    found = F.lit(False)
+    for src, dst in terms.items():
+        used = source.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_])\Q{src}\E(?![\p{{L}}\p{{N}}_])") if src[:1].isascii() and src[:1].isalpha() else source.contains(src)
+        was = F.lit(True) if also is None else also.contains(dst)
+        found = found | (used & was & ~text.contains(dst))
+    return found
+
+
+def review_risks(source: Column, draft: Column, terms: dict[str, str], long_text: int = 420) -> Column:
+    """Why a draft deserves a second look: all eight rules, in their order, on fragments of HTML."""
+    a, b = visible_text(source), visible_text(draft)
+    ratio = F.length(b) / F.greatest(F.length(a), F.lit(1))
+    return F.array_compact(
+        F.array(
+            F.when(source.rlike(r"(?i)<h[1-6][\s>]"), "heading"),
+            F.when(singleton(source), "complex_html"),
+            F.when(F.length(a) >= long_text, "long_text"),
+            F.when(number_tokens(a) != number_tokens(b), "number_mismatch"),
+            F.when(any_of(F.concat(F.lit(" "), F.lower(a), F.lit(" ")), LOGIC_MARKERS), "logic_relation"),
+            F.when((ratio < 0.32) | (ratio > 2.4), "length_ratio"),
+            F.when(_lacking(terms, a, b), "glossary_missing"),
+            F.when(error_like(draft) | untranslated_gate(source, draft), "translation_suspect"),
+        )
+    )
+
+
+def edit_guards(source: Column, previous: Column, candidate: Column, terms: dict[str, str]) -> Column:
+    """Why an edit of a translation is turned down: validity, numbers, length against the text before, and terms it loses."""
+    a, p, c = visible_text(source), visible_text(previous), visible_text(candidate)
+    ratio = F.length(c) / F.greatest(F.length(p), F.lit(1))
+    return F.array_compact(
+        F.array(
+            invalid_reason(source, candidate),
+            F.when(number_tokens(a) != number_tokens(c), "number_mismatch"),
+            F.when((ratio < 0.55) | (ratio > 1.8), "unsafe_length_change"),
+            F.when(_lacking(terms, a, c, p), "glossary_term_removed"),
+        )
+    )
+
+
+def undeliverable(failed: Column, total: Column, most: int = 20, share: float = 0.02) -> Column:
+    """The delivery gate: more failures than ``most`` and more than that share."""
+    return (failed > most) & (failed / total > share)
+
+
 def sampled(c: Column, rate: float) -> Column:
     """Deterministic sample: the first 32 bits of SHA-1 as a share of their maximum."""
     return F.conv(F.substring(F.sha1(c), 1, 8), 16, 10).cast("double") / 4294967295.0 < rate

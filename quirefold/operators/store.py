@@ -50,3 +50,27 @@ def transition(status: Column, action: Column, error: Column) -> Column:
         .when((action == "cancel") & status.isin("pending", "running"), "cancelled")
         .otherwise(status)
     )
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, source: str, family: str, context: str, order: str, value: str) -> DataFrame:
+    """``requests`` (with ``policy`` and ``attempt``) and what a cache holds for them: ``value`` and ``hit``.
+
+    fresh: nothing is looked up.  verified, and reuse from the second attempt
+    on: the newest entry of equal source, family and context ('exact').  reuse
+    at the first attempt: else the newest entry of equal source and family
+    ('compatible').  Entries with an empty value don't count.  Both look-ups
+    are joins of requests with one row a key.
+    """
+    kept = cache.where(F.col(value) != "")
+    newest = lambda keys, name: kept.groupBy(*keys).agg(F.max_by(value, order).alias(name))
+    exact, compatible = newest([source, family, context], "_exact"), newest([source, family], "_compatible")
+    out = requests.join(exact, [source, family, context], "left").join(compatible, [source, family], "left")
+    policy = F.when(F.col("policy").isin("fresh", "verified"), F.col("policy")).otherwise("reuse")
+    hit = (
+        F.when(policy == "fresh", "miss")
+        .when(F.col("_exact").isNotNull(), "exact")
+        .when((policy == "reuse") & (F.col("attempt") <= 1) & F.col("_compatible").isNotNull(), "compatible")
+        .otherwise("miss")
+    )
+    out = out.withColumn("hit", hit).withColumn(value, F.when(F.col("hit") == "exact", F.col("_exact")).when(F.col("hit") == "compatible", F.col("_compatible")))
+    return out.select(*requests.columns, value, "hit")

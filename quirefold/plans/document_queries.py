@@ -55,10 +55,16 @@ def lexicon_replaced_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
 
 
-@R.add("relevant_terms")
+@R.add(
+    "relevant_terms",
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS x FROM benchmark), h AS (SELECT item_id, lower(x[i]) AS term, i FROM w, unnest(range(1, len(x) + 1)) AS u(i)),
+t AS (SELECT item_id, term, i, row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, i) AS k FROM h WHERE term IN ('the', 'that', 'of')),
+f AS (SELECT item_id, term, min(i) AS i FROM t WHERE k <= 32 GROUP BY ALL)
+SELECT item_id, coalesce(string_agg(term, ',' ORDER BY i), '') AS terms FROM benchmark LEFT JOIN f USING (item_id) GROUP BY item_id""",
+)
 def relevant_terms(spark, sf):
     spans = lexicon.relevant_terms(F.col("text"), {"the": "x", "that": "y", "of": "z"})
-    return table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.transform(spans, lambda s: s["term"])).alias("terms"))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_distinct(F.transform(spans, lambda s: s["term"])), ",").alias("terms"))
 
 
 _BENCH_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"

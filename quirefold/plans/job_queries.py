@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import quality, text
 from quirefold.operators import aggregates, ordered, store
 from quirefold.plans.base import CHUNKS, JOBS, LINES, Registry, chunks, jobs, lines
+from quirefold.plans.stream_queries import LIMIT
 from quirefold.session import table
 
 R = Registry()
@@ -298,7 +299,17 @@ def document_titles(spark, sf):
 # order-dependent
 
 
-@R.add("chunk_batches")
+@R.add(
+    "chunk_batches",
+    f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT job_id, sequence, prompt_tokens AS cost, retry_count = 3 AS single, row_number() OVER (PARTITION BY job_id ORDER BY sequence, prompt_tokens, retry_count = 3) AS n FROM chunks WHERE prompt_tokens > 0),
+r AS (
+  SELECT job_id, n, sequence, 0 AS batch, CASE WHEN single THEN 1 ELSE 0 END AS open, CASE WHEN single THEN 0 ELSE cost END AS used, single AS fresh FROM c WHERE n = 1
+  UNION ALL
+  SELECT job_id, n, sequence, now, CASE WHEN single THEN now + 1 ELSE now END, CASE WHEN single THEN 0 WHEN now > open THEN cost ELSE used + cost END, single FROM (
+    SELECT c.*, r.open, r.used, r.open + CASE WHEN NOT r.fresh AND (c.single OR r.used + c.cost > 600) THEN 1 ELSE 0 END AS now FROM r JOIN c ON c.job_id = r.job_id AND c.n = r.n + 1)
+)
+SELECT job_id, sequence, CAST(batch AS INTEGER) AS batch FROM r""",
+)
 def chunk_batches(spark, sf):
     """Greedy batches of chunks by prompt size; a job's chunks are few, so they fold in one row."""
     c = chunks(spark, sf).where("prompt_tokens > 0").groupBy("job_id").agg(
@@ -318,7 +329,11 @@ def smoothed_latency(spark, sf):
     return c.select("job_id", F.round(ordered.smoothed(F.col("x.latency_ms")), 6).alias("latency"))
 
 
-@R.add("adaptive_limits")
+@R.add(
+    "adaptive_limits",
+    LIMIT.format(events=f"{CHUNKS}, a AS (SELECT job_id AS key, sequence AS event_id, row_number() OVER (PARTITION BY job_id ORDER BY sequence, status <> 'failed', latency_ms) AS n, status <> 'failed' AS ok, status <> 'failed' AND latency_ms <= 20000 AS fast FROM chunks)", streak=6)
+    + " SELECT key AS job_id, CAST(arg_max(current, n) AS INTEGER) AS \"limit\" FROM r GROUP BY key",
+)
 def adaptive_limits(spark, sf):
     ok = F.col("status") != "failed"
     c = chunks(spark, sf).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("sequence", ok.alias("ok"), F.col("latency_ms").alias("latency")))).alias("x"))

@@ -90,7 +90,8 @@ def stream_cooldowns(spark, sf):
     return out.withColumn("latency", F.floor(F.col("latency") * 1000))
 
 
-_LIMIT = """WITH RECURSIVE {events}, r AS (
+#: The fold of adaptive limits over a(key, n, event_id, ok, fast).
+LIMIT = """WITH RECURSIVE {events}, r AS (
   SELECT key, n, event_id, CASE WHEN ok THEN 6 ELSE 5 END AS current, CASE WHEN fast THEN 1 ELSE 0 END AS run, CASE WHEN ok THEN 6 ELSE 5 END AS lowest, CASE WHEN ok THEN 0 ELSE 1 END AS downs, 0 AS ups FROM a WHERE n = 1
   UNION ALL
   SELECT key, n, event_id, current + up - down, CASE WHEN fast AND run + 1 < {streak} THEN run + 1 ELSE 0 END, least(lowest, current + up - down), downs + down, ups + up FROM (
@@ -102,7 +103,7 @@ _LIMIT = """WITH RECURSIVE {events}, r AS (
 
 @R.add(
     "stream_limits",
-    _LIMIT.format(events=f"{_IN_ORDER}, a AS (SELECT user_id AS key, n, event_id, event_type <> 'error' AS ok, event_type <> 'error' AND value <= 60 AS fast FROM e)", streak=3)
+    LIMIT.format(events=f"{_IN_ORDER}, a AS (SELECT user_id AS key, n, event_id, event_type <> 'error' AS ok, event_type <> 'error' AND value <= 60 AS fast FROM e)", streak=3)
     + " SELECT key AS user_id, event_id, CAST(current AS INTEGER) AS current, CAST(lowest AS INTEGER) AS lowest, CAST(downs AS INTEGER) AS downs, CAST(ups AS INTEGER) AS ups FROM r",
 )
 def stream_limits(spark, sf):

@@ -375,8 +375,16 @@ def clean_styles(spark, sf):
     return forms(spark, sf, _STYLES, "id int, s string").select("id", text.clean_style(F.col("s")).alias("s"))
 
 
-@R.add("typography")
+@R.add(
+    "typography",
+    r"""WITH p AS (SELECT page_id, string_split(html, '<') AS x FROM pages), t AS (
+  SELECT page_id, x, list_transform(x, lambda s: regexp_extract(s, '(?s)^(.*>)?([^>]*)$', 1)) AS heads, list_transform(x, lambda s: regexp_replace(regexp_extract(s, '(?s)^(.*>)?([^>]*)$', 2), '\.{3,}', '…', 'g')) AS tails FROM p
+)
+SELECT page_id, array_to_string(list_transform(x, lambda s, i: CASE WHEN i = len(x) THEN s
+  ELSE heads[i] || regexp_replace(regexp_replace(tails[i], '(^|[^:/\-])--($|[^\-/>])', '\1—\2', 'g'), '(^|[^:/\-])--($|[^\-/>])', '\1—\2', 'g') END), '<') AS html FROM t""",
+)
 def typography(spark, sf):
+    """Ellipses and dashes in the texts of all pages."""
     return table(spark, sf, "pages").select("page_id", text.typography(F.col("html")).alias("html"))
 
 

@@ -11,8 +11,11 @@ letter), split at special tokens, then into words; as no word crosses white
 space, each white-space-free chunk is encoded once per worker and kept in a
 table of bounded size.
 
-Null text: no ids and an empty decoded text.  Everything is map-only: no
-shuffle, and a lost task costs its own rows.
+Letters, numbers and normal forms are the library's own.
+
+Null text: no ids and an empty decoded text.  Repeated rows are encoded one by
+one, an empty table gives no rows, and ties of rank go to the left.
+Everything is map-only: no shuffle, and a lost task costs its own rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -40,9 +42,18 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[{_WHITE}]+")
 
 
+def _class(pattern: str) -> str:
+    """The characters that the library's own regular expressions match, as the inside of a character class."""
+    from tokenizers import Regex, pre_tokenizers
+
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(everything)
+    return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in runs)
+
+
 class Bpe:
     def __init__(self, path: str):
-        import regex
+        from tokenizers import normalizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -57,7 +68,10 @@ class Bpe:
         letters = byte_letters()
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + self.suffix] for b in range(256)]
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
+        letter, number = _class(r"[\p{L}]+"), _class(r"[\p{N}]+")
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_WHITE}{letter}{number}]+")
+        #: The library's own, as its Unicode tables are older than Python's.
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, s: list[int]) -> list[int]:
@@ -107,9 +121,7 @@ class Bpe:
         """Normalised words of a text without white space or special tokens."""
         if text.isascii():
             return _ASCII.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return self.words.findall(text)
+        return self.words.findall(self.normal.normalize_str(text))
 
     def decode(self, ids) -> str:
         return " ".join(self.strings[i] for i in ids)

@@ -26,15 +26,16 @@
    met to decide, they double as well, and the narrower build is held
    against the wider one over all vectors.
 
-Results: vectors that are null, empty, zero, of another length than the most
-common one, or hold a null or non-finite component link with nothing.  Rows
-that repeat an id are vectors of their own.  A null id is returned as such
+Results: vectors that are null, empty, zero, or hold a null or non-finite
+component link with nothing; vectors link only within their length (each
+length is a build of its own).  An empty table gives no rows.  Rows that repeat an id are vectors of their own.  A null id is returned as such
 and names no component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.components import connected_components
-from quirefold.llm.voronoi_knn import matrix, usable
+from quirefold.llm.voronoi_knn import lengths, matrix, usable
 from quirefold.session import materialize
 
 SAMPLE, MAX_PIVOTS, SHARD = 16, 4096, 2000
@@ -56,6 +57,10 @@ PIECE = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their norms; scaled by a power of two first, so that no square overflows or vanishes."""
+    if not x.size:
+        return x
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -318,12 +323,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(id, n_links, component_id, kept), one row for each row of ``vectors``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v"))
     fine = usable(rows, "v").where(F.exists("v", lambda v: v != 0) & F.col("id").isNotNull())
+    sizes = lengths(fine, "v")
+    if not sizes:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    named = reduce(DataFrame.unionByName, [_named(fine.where(F.size("v") == n) if len(sizes) > 1 else fine, least) for n in sizes])
+    out = rows.join(named, rows["v"] == named["v"], "left").where("true")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(F.col("id").isNotNull(), F.greatest(F.coalesce(F.col("n") - 1, F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        comp.alias("component_id"),
+        F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _named(fine: DataFrame, least: float) -> DataFrame:
+    """(v, n, component) of each different vector, all of one length: links, its copies included, and the least id it reaches."""
     groups = fine.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
     groups = materialize(groups.select(F.monotonically_increasing_id().alias("id"), "v", "weight", "least"), "vectors")
     classes = groups.select("id", "v", "weight")
     n = classes.count()
-    if not n:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     k = min(MAX_PIVOTS, max(1, -(-n // (SHARD // 4))))
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE * k).select("v").toArrow()
     pivots = centres(unit(matrix(sample["v"])), min(k, len(sample)))
@@ -343,12 +362,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     parts = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "a", "b")
     nodes = parts.withColumnRenamed("node", "id").join(groups.select("id", "least"), "id")
     rooted = nodes.join(nodes.groupBy("component").agg(F.min("least").alias("root")), "component").select("id", "root")
-    named = groups.join(counts, "id").join(rooted, "id", "left").select("v", F.col("n"), F.coalesce("root", "least").alias("component"))
-    out = rows.join(named, rows["v"] == named["v"], "left").where("true")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("id").isNotNull(), F.coalesce(F.col("n") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        comp.alias("component_id"),
-        F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    return groups.join(counts, "id").join(rooted, "id", "left").select("v", F.col("n"), F.coalesce("root", "least").alias("component"))

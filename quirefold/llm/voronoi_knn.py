@@ -19,15 +19,18 @@ by score and id.
 Where cells overlap as much as in unclustered data the bounds prune little,
 and the join is the stated query set against all rows, in blocks.
 
-Results: vectors that are null, or hold a null or non-finite component, or
-whose length differs from the common one, take no part; ties go to the
-smaller id; a query has fewer than k rows only if there are fewer candidates;
+Results: vectors that are null, empty, or hold a null or non-finite component
+take no part; vectors of different lengths are no candidates for each other
+(each length is a join of its own); products too large for double precision
+are added up as whole numbers of any size, and one beyond a long raises; an
+empty table gives no rows; ties go to the smaller id; a query has fewer than k rows only if there are fewer candidates;
 rows that repeat an id are candidates each, but never for their own id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +58,20 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec: str) -> DataFrame:
-    """Rows whose vector is not null, finite throughout, and of the most common length."""
+    """Rows whose vector is not null, not empty and finite throughout."""
     x = F.col(vec)
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where(F.coalesce(fine, F.lit(False)))
-    lengths = rows.groupBy(F.size(x).alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return rows.where(F.size(x) == (lengths["size"] if lengths else 0))
+    return vectors.where(F.coalesce(fine, F.lit(False)))
+
+
+def lengths(vectors: DataFrame, vec: str) -> list[int]:
+    """The different lengths of the vectors; a table of embeddings has one, or a few."""
+    return sorted(r["n"] for r in vectors.select(F.size(vec).alias("n")).distinct().collect())
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """The same as Python's integers of any size."""
+    return np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
 
 
 def bounds(pivots: np.ndarray, nearest: list[np.ndarray], queries: np.ndarray, k: int) -> np.ndarray:
@@ -76,9 +87,16 @@ def bounds(pivots: np.ndarray, nearest: list[np.ndarray], queries: np.ndarray, k
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score) of each query's k best other rows; ``is_query``: a condition on ``vectors``."""
-    spark = vectors.sparkSession
     whole = F.transform(vec_col, lambda v: F.floor(v.cast("double") * scale).cast("double"))
     data = usable(vectors, vec_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    sizes = lengths(data, "v")
+    found = [_top_k(data.where(F.size("v") == n) if len(sizes) > 1 else data, id_col, k) for n in sizes or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _top_k(data: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The same of vectors of one length."""
+    spark = data.sparkSession
     sample = data.orderBy(F.xxhash64("v"), "id").limit(PIVOTS).select("v").toArrow()
     pivots = np.unique(matrix(sample["v"]), axis=0)
     if not len(pivots):
@@ -97,7 +115,10 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     placed = materialize(data.mapInArrow(cells, "id long, v array<double>, q boolean, cell int, r double"), "cells")
     # as many rows more than k as share a query's id, as none of them is a candidate for it
     own = placed.groupBy("id").agg(F.count("*").alias("n"), F.max("q").alias("q")).where("q").agg(F.max("n")).first()[0] or 1
-    bounded = own <= OWN
+    norm = F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v)
+    most = placed.agg(F.max(norm)).first()[0]  # no product, nor a part of its sum, is larger
+    exact = most < 2.0**53
+    bounded = own <= OWN and exact
     depth = k + own if bounded else 0
     first = placed.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("at") <= depth)
     nearest: list[list[float]] = [[] for _ in pivots]
@@ -151,7 +172,16 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             q, x, qid, xid = matrix(left["qv"]), matrix(right["v"]), left["qid"].to_numpy(), right["id"].to_numpy()
             order = np.argsort(xid, kind="stable")
             x, xid = x[order], xid[order]
+            if not exact:  # whole numbers that double precision cannot add up
+                q, x = whole_numbers(q), whole_numbers(x)
             for a in range(0, len(q), 64):
+                if not exact:
+                    for i, v in enumerate(q[a : a + 64]):
+                        best = sorted((-int(p), int(t)) for p, t in zip(x @ v, xid, strict=True) if t != qid[a + i])[:k]
+                        out["query_id"].append(np.full(len(best), qid[a + i]))
+                        out["id"].append(np.array([t for _, t in best], np.int64))
+                        out["score"].append(np.array([-p for p, _ in best], np.int64))  # raises beyond a long
+                    continue
                 s = q[a : a + 64] @ x.T
                 s[qid[a : a + 64][:, None] == xid[None, :]] = -np.inf
                 m = min(k, s.shape[1])

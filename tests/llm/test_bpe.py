@@ -47,3 +47,26 @@ def test_merges_in_rank_order():
 
 def test_empty(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_code_point_and_newer_marks():
+    """Unassigned and new code points too: their classes and normal forms are the library's."""
+    from quirefold.llm.bpe import _Kept
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    table = _Kept(Bpe(path))
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]]
+    mixed = [f"a{x}b1{x}{x}." for x in points]
+    rnd = random.Random(4)
+    odd = [chr(c) for c in (0xD3B, 0x36F, 0x558, 0x58B, 0x1C89, 0x208F, 0x301, 0x345, 0xC5C, 0x41, 0xE9, 0x3A3)]
+    mixed += ["".join(rnd.choices(odd, k=6)) for _ in range(3000)]
+    for lo in range(0, len(mixed), 2000):
+        text = " ".join(mixed[lo : lo + 2000])
+        want = tok.encode(text, add_special_tokens=False).ids
+        got = np.frombuffer(table.encode(text)[0], "<u4").tolist()
+        if got != want:
+            bad = [x for x in mixed[lo : lo + 2000] if np.frombuffer(table.encode(x)[0], "<u4").tolist() != tok.encode(x, add_special_tokens=False).ids]
+            raise AssertionError(ascii(bad[:20]))

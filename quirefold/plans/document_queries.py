@@ -39,10 +39,14 @@ def lexicon_hits(spark, sf):
     return d.select("doc_id", F.size("r.hits").cast("long").alias("hits")).where("hits > 0")
 
 
-@R.add("lexicon_replaced", "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the', 'THE', 'g'), 'and', 'AND', 'g'), 'of', 'OF', 'g'), 'der', 'DER', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, 'ander|under') AND lang = 'en'")
+@R.add(
+    "lexicon_replaced",
+    r"""WITH w AS (SELECT item_id, string_split_regex(text, 'the|and|of|der') AS gaps, regexp_extract_all(text, 'the|and|of|der') AS hits FROM benchmark)
+SELECT item_id, sha256(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(upper(hits[i]), '')), '')) AS digest FROM w""",
+)
 def lexicon_replaced(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("ander|under") & (F.col("lang") == "en"))
-    return d.select("doc_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
+    """Replaced texts of the whole benchmark."""
+    return table(spark, sf, "benchmark").select("item_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
 
 
 @R.add(

@@ -18,8 +18,7 @@ def test_query(spark, con, name):
     if name in registry.ORACLE:
         compare(spark, con, registry.QUERIES[name], registry.ORACLE[name], SF)
     else:
-        df = registry.QUERIES[name](spark, SF)
-        assert len(df.collect()) >= 0 and df.columns
+        assert registry.QUERIES[name](spark, SF).collect()  # tests of the operator hold its rows against other computations
 
 
 def test_flagship(spark):

@@ -4,6 +4,10 @@ Each round is two aggregations and joins on the edge table; nothing but two
 numbers a round reaches the driver.  Rounds grow with the logarithm of the
 node count.  Every round is written to the shared folder, so lineage stays
 short and lost executors cost one round at most.
+
+Edges with a null end are left out, loops and repeated edges change nothing,
+a component's name is its least node (so there are no ties), and an empty
+edge table gives no rows.
 """
 
 from __future__ import annotations

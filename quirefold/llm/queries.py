@@ -9,6 +9,7 @@ from quirefold.session import table
 
 
 def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document after repeated 35-word windows are removed; nulls, ties and empty tables as in rlz_dedup."""
     from quirefold.llm.rlz_dedup import rlz_dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -19,12 +20,14 @@ def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and representative of each document over two-word shingles; nulls, ties and empty tables as in setsketch."""
     from quirefold.llm.setsketch import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later places of repeated 50-word passages; nulls, ties and empty tables as in suffix_dedup."""
     from quirefold.llm.suffix_dedup import suffix_dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,12 +39,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 tokens; nulls, repeated rows and empty tables as in packing."""
     from quirefold.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2048, end_id=0)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of each document; nulls, repeated rows and empty tables as in bpe."""
     from quirefold.llm.bpe import encode
 
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -55,6 +60,7 @@ def _remainder(n: int):
 
 
 def op7_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document, learned from two thirds of them; null and letterless texts are und."""
     from quirefold.llm.langid import identify, learn
 
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +72,7 @@ def op7_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under the model and under the base; a null text is the end token alone."""
     from quirefold.llm.suffix_tree_lm import fit_and_score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +82,7 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one; nulls, ties, lengths and empty tables as in voronoi_knn."""
     from quirefold.llm.voronoi_knn import top_k
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -82,6 +90,7 @@ def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and found spans of each document; null texts have none, repeated rows are scanned one by one."""
     from quirefold.llm.secrets import listed, scan
 
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -96,6 +105,7 @@ def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector; nulls, lengths, repeated ids and empty tables as in vector_graph."""
     from quirefold.llm.vector_graph import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)

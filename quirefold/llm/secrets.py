@@ -34,7 +34,8 @@ bounded size.  Runs too short for their encoding thereby give no secrets.
 All statistics are linear in a run's length.
 
 Positions are code points, ends exclusive.  Null text: no spans.  Ties and
-repeated rows: every row is judged on its own text.  Extra columns are
+repeated rows: every row is judged on its own text; an empty table gives no
+rows.  Extra columns are
 carried along; those named as results are replaced.
 """
 

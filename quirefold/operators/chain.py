@@ -44,24 +44,40 @@ class Stage:
             raise ValueError(f"{self.name}: give an expression or a function")
 
 
-def _in_jvm(df: DataFrame, stage: Stage, text: str, kind: str | None) -> DataFrame:
-    takes = F.col(text).isNotNull()
-    if stage.kinds is not None and kind is not None:
-        takes = takes & F.coalesce(F.col(kind).isin(*stage.kinds), F.lit(False))
-    df = df.withColumn("_new", F.when(takes, stage.expression(F.col(text))))
-    status = F.when(~takes, "skipped").when(F.col("_new").isNull(), "empty").otherwise("ok")
-    now = F.coalesce("_new", text)
-    step = F.struct(
-        F.lit(stage.name).alias("stage"),
-        status.alias("status"),
-        F.coalesce(F.col("_new") != F.col(text), F.lit(False)).alias("changed"),
-        F.length(text).cast("long").alias("chars_in"),
-        F.length(now).cast("long").alias("chars_out"),
-        F.lit(None).cast("double").alias("ms"),
-        F.lit(None).cast("string").alias("error"),
-        F.create_map().cast("map<string,long>").alias("counts"),
-    )
-    return df.withColumns({"trail": F.concat("trail", F.array(step)), text: now}).drop("_new")
+def _in_jvm(df: DataFrame, stages: list[Stage], text: str, kind: str | None) -> DataFrame:
+    """One nested expression: each stage's input and output are bound once, however often its step names them."""
+    at = F.array(F.struct(F.col(text).alias("text"), F.col("trail").alias("trail")))
+
+    def tried(stage: Stage):
+        def one(x: Column) -> Column:
+            takes = x["text"].isNotNull()
+            if stage.kinds is not None and kind is not None:
+                takes = takes & F.coalesce(F.col(kind).isin(*stage.kinds), F.lit(False))
+            return F.struct(x["text"].alias("old"), x["trail"].alias("trail"), takes.alias("takes"), F.when(takes, stage.expression(x["text"])).alias("new"))
+
+        return one
+
+    def noted(stage: Stage):
+        def one(x: Column) -> Column:
+            now = F.coalesce(x["new"], x["old"])
+            step = F.struct(
+                F.lit(stage.name).alias("stage"),
+                F.when(~x["takes"], "skipped").when(x["new"].isNull(), "empty").otherwise("ok").alias("status"),
+                F.coalesce(x["new"] != x["old"], F.lit(False)).alias("changed"),
+                F.length(x["old"]).cast("long").alias("chars_in"),
+                F.length(now).cast("long").alias("chars_out"),
+                F.lit(None).cast("double").alias("ms"),
+                F.lit(None).cast("string").alias("error"),
+                F.create_map().cast("map<string,long>").alias("counts"),
+            )
+            return F.struct(now.alias("text"), F.concat(x["trail"], F.array(step)).alias("trail"))
+
+        return one
+
+    for stage in stages:
+        at = F.transform(F.transform(at, tried(stage)), noted(stage))
+    df = df.withColumn("_done", at[0])
+    return df.withColumns({"trail": F.col("_done.trail"), text: F.col("_done.text")}).drop("_done")
 
 
 def _applied(stages: list[Stage], text: str, kind: int | None, with_kind: bool) -> dict:
@@ -104,11 +120,7 @@ def run(df: DataFrame, stages: list[Stage], text: str = "content", kind: str | N
         raise ValueError("stages need names of their own")
     df = df.withColumn("trail", F.array().cast(f"array<{STEP}>"))
     for python, group in groupby(stages, lambda s: s.function is not None):
-        if python:
-            df = _in_python(df, list(group), text, kind)
-        else:
-            for s in group:
-                df = _in_jvm(df, s, text, kind)
+        df = (_in_python if python else _in_jvm)(df, list(group), text, kind)
     return df
 
 

@@ -31,19 +31,21 @@ HOT = 20_000
 _MOST = (1 << 30) - 1
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int | None = None) -> DataFrame:
+def block_counts(docs: DataFrame, text_col: str, blocks: int | None = None) -> tuple[int, int]:
+    """Numbers of blocks and of partitions: both follow the bytes of text, and are the session's shuffle partitions at least."""
+    if blocks:
+        return blocks, blocks
+    n = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // PART_BYTES))
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """Documents dealt to blocks by a hash of id and text (null ids and copies spread).
 
-    The number of blocks follows the bytes of text, and so does the number of
-    partitions, which hold several blocks each (the session's number of
-    shuffle partitions at least, of both).
+    A partition holds several blocks.  counts: ``block_counts``, if known.
     """
-    n = parts = shuffle_partitions(docs.sparkSession)
-    if blocks:
-        n = parts = blocks
-    else:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        n, parts = max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // PART_BYTES))
+    n, parts = counts or block_counts(docs, text_col, blocks)
     key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
     return docs.withColumn(BLOCK, key).repartition(parts, BLOCK)
 

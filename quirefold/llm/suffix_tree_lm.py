@@ -2,9 +2,10 @@
 
 Tokens are a text's words (A-Z in lower case) and one end token.  The root
 holds the distribution of all training tokens: absolute discounting, with the
-discounted mass (n1 / (n1 + 2 n2) for each distinct token) given to the one
-symbol that stands for every unknown token, so it sums to one over the known
-tokens and that symbol.
+discounted mass (n1 / (n1 + 2 n2) for each distinct token) spread evenly over
+the unseen tokens, whose number is estimated as n1 (n1 - 1) / (2 (n2 + 1))
+(n1, n2: tokens seen once and twice) and is one at least.  So the model sums
+to one over the known and that many unknown tokens.
 
 The tree grows by length.  A context of ``d`` tokens is a candidate if it
 occurs ``min_context`` times; its next tokens are those that follow it
@@ -17,13 +18,18 @@ context that is not retained passes the shorter one's distribution through.
 Scoring thus takes the longest retained suffix of what came before.
 
 Both minimum counts are absolute, so contexts, next tokens and token counts
-all grow with the corpus.  None of them is collected or broadcast: they are
-tables keyed by hash.  For each length, a block of documents sends every
-distinct run of tokens that can still reach the minima (its two shorter runs
-do) once with its count, one shuffle adds the counts up, and the block gets
-its own surviving runs back.  A context's test is a sum over its next tokens,
-each told by one of the blocks that hold it, so a frequent context is at most
-one row a block.
+all grow with the corpus.  None of them is collected or broadcast.  For each
+length, a block of documents sends every distinct run of tokens that can still
+reach the minima (its two shorter runs do) once with its count, and each
+context it met with sums over its next tokens (each told by one of the blocks
+that hold it).  Runs and contexts go to buckets, which are ranges of their
+hashes, as many as there are blocks: one row carries all that a block has for
+a bucket, as differences of sorted hashes in as few bytes as they need.  The
+bucket adds up, tests its contexts, and sends each block its own surviving
+runs and retained contexts in the same form.  A frequent run is one entry a
+block in its bucket.  The documents are read and dealt anew for each length,
+which costs no disk beyond one shuffle at a time; ``docs`` should thus be a
+stored table (or a plan that gives the same rows each time).
 
 Results: a null or empty text is the end token alone.  Repeated rows are
 scored (and learned from) one by one.  A null training flag is false.  Without
@@ -33,32 +39,61 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.arrays import Words, mix, word_slices
-from quirefold.llm.blocks import BLOCK, by_key, dealt
-from quirefold.session import materialize, release
+from quirefold.llm.blocks import BLOCK, block_counts, dealt
+from quirefold.session import materialize
 
 DEPTH = 3
-MIN_CONTEXT = 1024
-MIN_ENTRY = 64
+MIN_CONTEXT = 16
+MIN_ENTRY = 4
 MIN_NATS = 0.02
 _END = np.uint64(0xE0D0C0B0A0908071)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MOST = (1 << 30) - 1
 #: Rows that carry the number of runs seen once and twice, of all runs and of their tokens, in place of a block.
-_ONCE, _TWICE, _KINDS, _TOTAL = -1, -2, -3, -4
-#: Tables as blocks get them: level of a run or of a retained context, hash, count, whether this block tells it, weight of the shorter context.
-_TABLE = f"level int, context boolean, key long, n long, own boolean, back double, {BLOCK} int"
-#: What blocks send: counts of runs, and sums over the next tokens of contexts.
-_SENT = f"context boolean, key long, rest long, kinds long, seen long, total long, fit double, mass double, {BLOCK} int"
+_SUMS = _ONCE, _TWICE, _KINDS, _TOTAL = -1, -2, -3, -4
+#: What blocks get, a row for each bucket: hashes of runs or of retained contexts; counts of runs, which of them this
+#: block tells, weights of the shorter contexts.  rare: runs below the minimum.
+_TABLE = f"level int, context boolean, rare boolean, {BLOCK} int, first long, keys binary, n binary, own binary, back binary"
+#: What blocks send to a bucket: counts of runs, or totals of contexts and sums over their next tokens.
+_SENT = f"bucket int, {BLOCK} int, context boolean, first long, keys binary, n binary, kinds binary, seen binary, fit binary, mass binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Non-negative integers, byte by byte of all of them, without the high bytes that all lack."""
+    v = np.ascontiguousarray(values, dtype="<u8")
+    size = max(1, (int(v.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + v.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> tuple[int, bytes]:
+    """Sorted hashes (one at least): the first as a signed number, and the differences."""
+    return int(keys[:1].view(np.int64)[0]), _packed(np.diff(keys, prepend=keys[:1]))
+
+
+def _unpacked_keys(first: int, data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64) + np.array([first], np.int64).view(np.uint64)
+
+
+def _rows(rows: list[dict], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
 
 @dataclass
@@ -69,12 +104,13 @@ class Level:
     min_entry: int
     tokens: int = 0
     known: int = 0
+    unseen: float = 1.0
     discounts: tuple[float, ...] = ()
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         if not self.tokens:
             return np.ones(len(counts))
-        return np.where(counts > 0, (counts - self.discounts[0]) / self.tokens, self.discounts[0] * self.known / self.tokens)
+        return np.where(counts > 0, (counts - self.discounts[0]) / self.tokens, self.discounts[0] * self.known / self.tokens / self.unseen)
 
 
 class _Tokens:
@@ -97,19 +133,20 @@ class _Tables:
     """A block's share of the tables: sorted hashes of runs and of retained contexts, by level."""
 
     def __init__(self, table: pa.Table):
-        level, context, key, n, own, back = (table[c].to_numpy() for c in ("level", "context", "key", "n", "own", "back"))
         self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in np.unique(level).tolist():
-            for which in (False, True):
-                at = np.flatnonzero((level == d) & (context == which))
-                keys = key[at].view(np.uint64)
-                order = np.argsort(keys)
-                at = at[order]
-                if which:
-                    self.contexts[d] = (keys[order], back[at])
-                else:
-                    self.runs[d] = (keys[order], n[at], own[at])
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, ...]]] = {}
+        for r in table.to_pylist():
+            keys = _unpacked_keys(r["first"], r["keys"])
+            if r["context"]:
+                values = (np.frombuffer(r["back"], np.float64),)
+            else:
+                values = _unpacked(r["n"]).astype(np.int64), np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(keys)).astype(bool)
+            held.setdefault((r["level"], r["context"]), []).append((keys, *values))
+        for (d, which), rows in held.items():
+            keys, *values = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            (self.contexts if which else self.runs)[d] = (keys[order], *(v[order] for v in values))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -183,7 +220,14 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[heads], np.add.reduceat(weights, heads) if len(heads) else weights
 
 
-def _sender(known: Level, d: int, depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _dealt_keys(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """Buckets of sorted hashes: ranges of equal width."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    which, first = np.unique(bucket, return_index=True)
+    return [(k, slice(i, j)) for k, i, j in zip(which.tolist(), first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True)]
+
+
+def _sender(known: Level, d: int, depth: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block's counts of runs of d + 1 tokens (up to the depth) and its sums for contexts of d - 1 tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -213,64 +257,88 @@ def _sender(known: Level, d: int, depth: int) -> Callable[[pa.Table, pa.Table],
                 at = at[first]
                 told.append((k, r.names[d - 2][at - 1], r.counts[d - 1][at], r.prob(d - 2)[at]))
         k, n = _summed(np.concatenate(keys), np.concatenate(weights))
-        sums = [np.zeros(0, np.uint64), *[np.zeros(0)] * 5]
+        rows = []
+        for bucket, at in _dealt_keys(k, buckets):
+            first, packed = _packed_keys(k[at])
+            rows.append({"bucket": bucket, BLOCK: block, "context": False, "first": first, "keys": packed, "n": _packed(n[at])})
         if met:
             context, first = np.unique(np.concatenate([m[0] for m in met]), return_index=True)
             total = np.concatenate([m[1] for m in met])[first]
             _, first = np.unique(np.concatenate([x[0] for x in told]), return_index=True)
             c, seen, p = (np.concatenate([x[i] for x in told])[first] for i in (1, 2, 3))
             at = np.searchsorted(context, c)
-            size = len(context)
-            add = lambda v: np.bincount(at, v, size)
-            sums = [context, add(np.ones(len(c))), add(seen), total, add(seen * np.log(seen / p)), add(p)]
-        a, b = len(k), len(sums[0])
-        whole = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
-        none = np.zeros(a)
-        return pa.table(
-            {
-                "context": np.arange(a + b) >= a,
-                "key": np.concatenate([k, sums[0]]).view(np.int64),
-                "rest": whole(np.int64(block) << 30 | np.minimum(n, _MOST), np.zeros(b)),
-                "kinds": whole(none, sums[1]),
-                "seen": whole(none, sums[2]),
-                "total": whole(none, sums[3]),
-                "fit": np.concatenate([none, sums[4]]),
-                "mass": np.concatenate([none, sums[5]]),
-                BLOCK: np.full(a + b, block, np.int32),
-            }
-        )
+            add = lambda v: np.bincount(at, v, len(context))
+            sums = {"kinds": add(np.ones(len(c))), "seen": add(seen)}
+            real = {"fit": add(seen * np.log(seen / p)), "mass": add(p)}
+            for bucket, at in _dealt_keys(context, buckets):
+                first, packed = _packed_keys(context[at])
+                row = {"bucket": bucket, BLOCK: block, "context": True, "first": first, "keys": packed, "n": _packed(total[at])}
+                rows.append(row | {x: _packed(v[at]) for x, v in sums.items()} | {x: v[at].tobytes() for x, v in real.items()})
+        return _rows(rows, _SENT)
 
     return run
 
 
-def _added(least: int):
-    """From (key, rest) sorted by both: the total of each key that reaches ``least``, for each block that sent it; the first one tells it."""
-
-    def done(key: np.ndarray, rest: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(rest & _MOST, heads)
-        sums += [(total == 1).sum(), (total == 2).sum(), (total > 0).sum(), total.sum()]
-        own = np.zeros(len(key), bool)
-        own[heads] = True
-        total = np.repeat(total, np.diff(np.append(heads, len(key))))
-        keep = total >= least
-        yield batch(key[keep], total[keep], own[keep], (rest[keep] >> 30).astype(np.int32))
-
-    def batch(key: np.ndarray, n: np.ndarray, own: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, own, block)], names=["key", "n", "own", BLOCK])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest, sums = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(4, np.int64)
-        for b in batches:
-            key, rest = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([rest, b.column("rest").to_numpy()])
-            if len(key):
-                cut = int(np.searchsorted(key, key[-1]))  # rows of the open key: one a block
-                yield from done(key[:cut], rest[:cut], sums)
-                key, rest = key[cut:], rest[cut:]
-        yield from done(key, rest, sums)
-        yield batch(np.zeros(4, np.int64), sums, np.zeros(4, bool), np.array([_ONCE, _TWICE, _KINDS, _TOTAL], np.int32))
+class _Grouped:
+    """Entries of several rows, each sorted by hash, brought together by hash."""
+
+    def __init__(self, rows: list[dict]):
+        keys = [_unpacked_keys(r["first"], r["keys"]) for r in rows]
+        self.rows, self.ends = rows, np.cumsum([len(k) for k in keys])
+        self.keys = np.concatenate(keys)
+        self.order = np.argsort(self.keys, kind="stable")
+        sorted_keys = self.keys[self.order]
+        self.heads = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+        self.sizes = np.diff(np.append(self.heads, len(self.keys)))
+
+    def column(self, name: str, real: bool = False) -> np.ndarray:
+        parts = [np.frombuffer(r[name], np.float64) if real else _unpacked(r[name]).astype(np.int64) for r in self.rows]
+        return np.concatenate(parts)[self.order]
+
+    def sums(self, name: str, real: bool = False) -> np.ndarray:
+        return np.add.reduceat(self.column(name, real), self.heads)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """A value of each hash for each of its entries."""
+        out = np.empty(len(self.keys), values.dtype)
+        out[self.order] = np.repeat(values, self.sizes)
+        return out
+
+    def parts(self, keep: np.ndarray) -> list[tuple[dict, np.ndarray]]:
+        """Rows with the places of those of their entries that are kept."""
+        at = np.flatnonzero(keep)
+        cuts = np.split(at, np.searchsorted(at, self.ends[:-1]))
+        return [(r, i) for r, i in zip(self.rows, cuts, strict=True) if len(i)]
+
+
+def _bucket(known: Level, d: int, min_nats: float) -> Callable[[pa.Table], pa.Table]:
+    """Adds up a bucket's runs of d + 1 tokens and tests its contexts of d - 1 tokens; each block gets its own of what is left."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        out: list[dict] = []
+        if runs := [r for r in rows if not r["context"]]:
+            g = _Grouped(runs)
+            total = g.sums("n")
+            sums = (total == 1).sum(), (total == 2).sum(), (total > 0).sum(), total.sum()
+            out += [{"level": d, "context": False, "rare": False, BLOCK: which, "first": int(v)} for which, v in zip(_SUMS, sums, strict=True)]
+            own = np.zeros(len(g.keys), bool)
+            own[g.order[g.heads]] = True
+            n = g.spread(total)
+            kept = [(False, n >= known.min_entry)] + ([] if d else [(True, (n > 0) & (n < known.min_entry))])
+            for rare, keep in kept:
+                for r, at in g.parts(keep):
+                    first, packed = _packed_keys(g.keys[at])
+                    out.append({"level": d, "context": False, "rare": rare, BLOCK: r[BLOCK], "first": first, "keys": packed, "n": _packed(n[at]), "own": np.packbits(own[at]).tobytes()})
+        if met := [r for r in rows if r["context"]]:
+            g = _Grouped(met)
+            kinds, seen, fit, mass = g.sums("kinds"), g.sums("seen"), g.sums("fit", True), g.sums("mass", True)
+            keep, back = _retained(kinds, seen, fit, mass, g.column("n")[g.heads], known.discounts[d - 1], min_nats)
+            back = g.spread(back)
+            for r, at in g.parts(g.spread(keep)):
+                first, packed = _packed_keys(g.keys[at])
+                out.append({"level": d - 1, "context": True, "rare": False, BLOCK: r[BLOCK], "first": first, "keys": packed, "back": back[at].tobytes()})
+        return _rows(out, _TABLE)
 
     return run
 
@@ -290,21 +358,15 @@ def _discount(once: int, twice: int) -> float:
     return min(once / (once + 2 * twice), 0.9) if once else 0.5
 
 
-def _retained(sums: DataFrame, d: int, discount: float, min_nats: float) -> DataFrame:
-    """Contexts of length d that pass the test, for each block that met them."""
-    c = sums.groupBy("key").agg(
-        *(F.sum(x).alias(x) for x in ("kinds", "seen", "fit", "mass")), F.max("total").alias("total")
-    )
-    other = F.col("total") - F.col("seen")
-    rest = F.greatest(1 - F.col("mass"), F.lit(1e-12))
-    gain = F.col("fit") - F.col("seen") * F.log("total") + F.when(other > 0, other * F.log(other / (F.col("total") * rest))).otherwise(0)
-    df = F.greatest("kinds", F.lit(1))
-    limit = df + 4 * F.sqrt(2 * df) + 8  # above the 0.9999 point of chi-squared
-    back = F.greatest(1 - (F.col("seen") - F.col("kinds") * discount) / F.col("total"), F.lit(1e-12))
-    kept = c.where((2 * gain > limit) & (gain / F.col("total") > min_nats)).select("key", back.alias("back"))
-    return sums.select("key", BLOCK).join(kept, "key").select(
-        F.lit(d).alias("level"), F.lit(True).alias("context"), "key", F.lit(0).cast("long").alias("n"), F.lit(False).alias("own"), "back", BLOCK
-    )
+def _retained(kinds: np.ndarray, seen: np.ndarray, fit: np.ndarray, mass: np.ndarray, total: np.ndarray, discount: float, min_nats: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts pass the test, and the weight that each leaves to the shorter one."""
+    other = total - seen
+    rest = np.maximum(1 - mass, 1e-12)
+    gain = fit - seen * np.log(total) + np.where(other > 0, other * np.log(np.maximum(other, 1) / (total * rest)), 0.0)
+    df = np.maximum(kinds, 1)
+    limit = df + 4 * np.sqrt(2 * df) + 8  # above the 0.9999 point of chi-squared
+    back = np.maximum(1 - (seen - kinds * discount) / total, 1e-12)
+    return (2 * gain > limit) & (gain / total > min_nats), back
 
 
 def _scorer(known: Level, depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -345,35 +407,29 @@ def fit_and_score(
     is at most ``min_context`` and at least 1.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    # Kept on the executors' disks; a lost executor's part is made again from the input.
-    x = dealt(rows, "id", "text", blocks).persist(StorageLevel.DISK_ONLY)
+    counts = block_counts(rows, "text", blocks)
+    x = dealt(rows, "id", "text", counts=counts)
     known = Level(min_context, min_entry)
     tables: list[DataFrame] = [docs.sparkSession.createDataFrame([], _TABLE)]
     for d in range(depth + 2):
-        sent = _per_block(x, tables, min_entry, _sender(known, d, depth), _SENT)
-        if d >= 2:  # read twice
-            sent = _cut(sent, "sent")
-            tables.append(_cut(_retained(sent.where("context"), d - 1, known.discounts[d - 1], min_nats), "contexts"))
+        sent = _per_block(x, tables, False, _sender(known, d, depth, counts[0]), _SENT)
+        found = _cut(sent.groupBy("bucket").applyInArrow(_bucket(known, d, min_nats), _TABLE), "runs")
+        tables.append(found.where(F.col(BLOCK) >= 0))
         if d <= depth:
-            counts = by_key(sent.where("not context").select("key", "rest"), "rest")
-            found = _cut(counts.mapInArrow(_added(min_entry if d else 1), f"key long, n long, own boolean, {BLOCK} int"), "runs")
-            sums = {r[0]: r[1] for r in found.where(F.col(BLOCK) < 0).groupBy(BLOCK).agg(F.sum("n")).collect()}
-            known = Level(min_context, min_entry, known.tokens, known.known, (*known.discounts, _discount(sums.get(_ONCE, 0), sums.get(_TWICE, 0))))
+            sums = {r[0]: r[1] for r in found.where(F.col(BLOCK) < 0).groupBy(BLOCK).agg(F.sum("first")).collect()}
+            once, twice = sums.get(_ONCE, 0), sums.get(_TWICE, 0)
+            known = replace(known, discounts=(*known.discounts, _discount(once, twice)))
             if d == 0:
-                known.tokens, known.known = sums.get(_TOTAL, 0), sums.get(_KINDS, 0)
-            tables.append(
-                found.where(F.col(BLOCK) >= 0).select(F.lit(d).alias("level"), F.lit(False).alias("context"), "key", "n", "own", F.lit(0.0).alias("back"), BLOCK)
-            )
-        release(sent)
+                known = replace(known, tokens=sums.get(_TOTAL, 0), known=sums.get(_KINDS, 0), unseen=max(1.0, once * (once - 1) / (2 * (twice + 1))))
     kind = x.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _per_block(x, tables, 1, _scorer(known, depth), schema).withColumnRenamed("id", id_col)
+    return _per_block(x, tables, True, _scorer(known, depth), schema).withColumnRenamed("id", id_col)
 
 
-def _per_block(x: DataFrame, tables: list[DataFrame], least: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Each block of documents with its share of the tables; runs rarer than ``least`` stay out."""
+def _per_block(x: DataFrame, tables: list[DataFrame], rare: bool, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Each block of documents with its share of the tables, with or without runs below the minimum."""
     table = tables[0]
     for t in tables[1:]:
         table = table.union(t)
-    table = table.where(F.col("context") | (F.col("n") >= least))
+    table = table if rare else table.where(~F.col("rare"))
     return x.groupBy(BLOCK).cogroup(table.groupBy(BLOCK)).applyInArrow(run, schema)

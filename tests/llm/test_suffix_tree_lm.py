@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm.suffix_tree_lm import fit_and_score
+from quirefold.llm.suffix_tree_lm import DEPTH, MIN_CONTEXT, MIN_ENTRY, MIN_NATS, _packed, _packed_keys, _unpacked, _unpacked_keys, fit_and_score
 
 LOW = {"min_context": 40, "min_entry": 6, "min_nats": 0.01}
 
@@ -35,7 +36,7 @@ def tokens(text):
 class Plain:
     """The model of the docstring with dictionaries."""
 
-    def __init__(self, texts, depth=3, min_context=1024, min_entry=64, min_nats=0.02):
+    def __init__(self, texts, depth=DEPTH, min_context=MIN_CONTEXT, min_entry=MIN_ENTRY, min_nats=MIN_NATS):
         self.depth = depth
         runs = [Counter() for _ in range(depth + 1)]
         for x in texts:
@@ -43,6 +44,8 @@ class Plain:
             for d in range(depth + 1):
                 runs[d].update(tuple(ts[i : i + d + 1]) for i in range(len(ts) - d))
         self.runs, self.n, self.v = runs, sum(runs[0].values()), len(runs[0])
+        once, twice = (sum(n == k for n in runs[0].values()) for k in (1, 2))
+        self.unseen = max(1.0, once * (once - 1) / (2 * (twice + 1)))
         self.discounts = [self.discount(runs[0].values())]
         self.own, self.back = {}, {}
         for d in range(1, depth + 1):
@@ -68,7 +71,7 @@ class Plain:
 
     def prob(self, run, depth):
         n = self.runs[0][run[-1:]]
-        p = (n - self.discounts[0]) / self.n if n else self.discounts[0] * self.v / self.n
+        p = (n - self.discounts[0]) / self.n if n else self.discounts[0] * self.v / self.n / self.unseen
         for d in range(1, min(depth, len(run) - 1) + 1):
             c = run[-d - 1 : -1]
             if c in self.back:
@@ -80,14 +83,15 @@ class Plain:
         return sum(math.log10(self.prob(tuple(ts[max(0, i - self.depth) : i + 1]), self.depth)) for i in range(len(ts)))
 
 
-def test_equals_a_plain_tree(spark):
+@pytest.mark.parametrize("minima", [LOW, {}], ids=["high minima", "as registered"])
+def test_equals_a_plain_tree(spark, minima):
     train = corpus(1, 900)
     test = [*corpus(1, 1000)[900:], None, "", "A b unseen É"]
-    model = Plain(train, **LOW)
+    model = Plain(train, **minima)
     assert {len(c) for c in model.back} >= {1, 2}
     rows = [(i, x, 1, True) for i, x in enumerate(train)] + [(900 + i, x, 2, False) for i, x in enumerate(test)] + [(900, test[0], 3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int, fit boolean")
-    got = fit_and_score(docs, F.col("fit"), blocks=5, **LOW).collect()
+    got = fit_and_score(docs, F.col("fit"), blocks=5, **minima).collect()
     assert len(got) == len(rows)
     texts, c, total = {r[0]: r[1] for r in rows}, model.runs[0], model.n
     for r in got:
@@ -101,10 +105,10 @@ def test_equals_a_plain_tree(spark):
 
 def test_sums_to_one():
     model = Plain(corpus(2, 900), **LOW)
-    vocabulary = [*(r[0] for r in model.runs[0]), "never seen"]
+    known = [r[0] for r in model.runs[0]]
     for history in ("a b c", "b", "zz q", "f g h a"):
         before = tuple(tokens(history)[:-1])
-        assert sum(model.prob((*before, w), 3) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+        assert sum(model.prob((*before, w), 3) for w in known) + model.unseen * model.prob((*before, "never seen"), 3) == pytest.approx(1, abs=1e-9)
 
 
 def test_model_grows_with_the_corpus():
@@ -112,6 +116,14 @@ def test_model_grows_with_the_corpus():
     assert len(many.back) > len(few.back)
 
 
+def test_packed_numbers():
+    rnd = np.random.default_rng(5)
+    for values in ([0], [255, 256], [2**64 - 1, 0, 7], rnd.integers(0, 2**63, 1000).tolist()):
+        v = np.array(values, np.uint64)
+        assert _unpacked(_packed(v)).tolist() == values
+        assert _unpacked_keys(*_packed_keys(np.sort(v))).tolist() == sorted(values)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert fit_and_score(none, F.lit(True)).count() == 0

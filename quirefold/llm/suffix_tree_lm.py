@@ -52,8 +52,8 @@ from quirefold.llm.blocks import BLOCK, block_counts, dealt
 from quirefold.session import materialize
 
 DEPTH = 3
-MIN_CONTEXT = 8
-MIN_ENTRY = 2
+MIN_CONTEXT = 16
+MIN_ENTRY = 4
 MIN_NATS = 0.02
 _END = np.uint64(0xE0D0C0B0A0908071)
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -23,8 +23,8 @@ length, a block of documents sends every distinct run of tokens that can still
 reach the minima (its two shorter runs do) once with its count, and each
 context it met with sums over its next tokens (each told by one of the blocks
 that hold it).  Runs and contexts go to buckets, which are ranges of their
-hashes, as many as there are blocks: one row carries all that a block has for
-a bucket, as differences of sorted hashes in as few bytes as they need.  The
+hashes, one for each block's worth of text: one row carries all that a block has
+for a bucket, as differences of sorted hashes in as few bytes as they need.  The
 bucket adds up, tests its contexts, and sends each block its own surviving
 runs and retained contexts in the same form.  A frequent run is one entry a
 block in its bucket.  The documents are read and dealt anew for each length,
@@ -39,6 +39,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -48,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.arrays import Words, mix, word_slices
-from quirefold.llm.blocks import BLOCK, block_counts, dealt
+from quirefold.llm.blocks import BLOCK, BLOCK_BYTES, block_counts, dealt
 from quirefold.session import materialize
 
 DEPTH = 3
@@ -133,7 +134,8 @@ class _Tables:
     """A block's share of the tables: sorted hashes of runs and of retained contexts, by level."""
 
     def __init__(self, table: pa.Table):
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = defaultdict(lambda: none)
         self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held: dict[tuple[int, bool], list[tuple[np.ndarray, ...]]] = {}
         for r in table.to_pylist():
@@ -147,15 +149,34 @@ class _Tables:
             keys, *values = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.argsort(keys, kind="stable")
             (self.contexts if which else self.runs)[d] = (keys[order], *(v[order] for v in values))
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the wanted hashes in sorted keys, -1 where there is none."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+        self.run_index = defaultdict(lambda: _Index(none[0]), {d: _Index(x[0]) for d, x in self.runs.items()})
+        self.context_index = {d: _Index(x[0]) for d, x in self.contexts.items()}
+
+
+class _Index:
+    """Finds hashes among sorted ones by their high bits: a step or two each."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.start = np.zeros((1 << bits) + 1, np.int64)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted hashes, -1 where there is none."""
+        out = np.full(len(wanted), -1)
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        live = np.flatnonzero(at < end)
+        at, end, wanted = at[live], end[live], wanted[live]
+        while len(live):
+            have = self.keys[at]
+            hit = have == wanted
+            out[live[hit]] = at[hit]
+            at += 1
+            more = np.flatnonzero((have < wanted) & (at < end))
+            live, at, end, wanted = live[more], at[more], end[more], wanted[more]
+        return out
 
 
 class _Runs:
@@ -173,8 +194,8 @@ class _Runs:
                 self.names.append(self.next_names(d))
             at = np.full(len(t.hash), -1)
             where = self.candidates(d) if d else np.arange(len(t.hash))
-            keys, n, _ = tables.runs.get(d, (np.zeros(0, np.uint64), np.zeros(0, np.int64), None))
-            at[where] = _find(keys, self.names[d][where])
+            n = tables.runs[d][1]
+            at[where] = tables.run_index[d].find(self.names[d][where])
             self.at.append(at)
             self.counts.append(np.where(at >= 0, n[at] if len(n) else 0, 0))
 
@@ -203,9 +224,9 @@ class _Runs:
         for d in range(1, depth + 1):
             if d not in self.tables.contexts:
                 continue
-            keys, back = self.tables.contexts[d]
+            back = self.tables.contexts[d][1]
             rows = self.contexts(d)
-            s = _find(keys, self.names[d - 1][rows - 1])
+            s = self.tables.context_index[d].find(self.names[d - 1][rows - 1])
             rows, s = rows[s >= 0], s[s >= 0]
             n = self.counts[d][rows]
             own = np.where(n > 0, n - self.known.discounts[d], 0.0) / self.counts[d - 1][rows - 1]
@@ -235,8 +256,10 @@ def _sender(known: Level, d: int, depth: int, buckets: int) -> Callable[[pa.Tabl
         train = left["train"].to_numpy()
         block = left[BLOCK][0].as_py() if len(left) else 0
         keys, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        told: list[tuple[np.ndarray, ...]] = []  # run, context, count, probability by the shorter context
-        met: list[tuple[np.ndarray, np.ndarray]] = []  # context, count
+        if d >= 2:
+            (context, total, _), (after, seen, own) = tables.runs[d - 2], tables.runs[d - 1]
+            met = np.zeros(len(context), bool)
+            told, prob = np.full(len(after), -1), np.ones(len(after))  # of each run that is told: its context, its probability by the shorter one
         for words in word_slices(left["text"]):
             t = _Tokens(words)
             r = _Runs(t, tables, known, d)
@@ -248,28 +271,23 @@ def _sender(known: Level, d: int, depth: int, buckets: int) -> Callable[[pa.Tabl
                 keys.append(k)
                 weights.append(n)
             if d >= 2:
-                at = r.contexts(d - 1)
-                k, first = np.unique(r.names[d - 2][at - 1], return_index=True)
-                met.append((k, r.counts[d - 2][at - 1][first]))
+                met[r.at[d - 2][r.contexts(d - 1) - 1]] = True
                 at = np.flatnonzero(r.at[d - 1] >= 0)
-                at = at[tables.runs[d - 1][2][r.at[d - 1][at]]] if len(at) else at
-                k, first = np.unique(r.names[d - 1][at], return_index=True)
-                at = at[first]
-                told.append((k, r.names[d - 2][at - 1], r.counts[d - 1][at], r.prob(d - 2)[at]))
+                at = at[own[r.at[d - 1][at]]]
+                told[r.at[d - 1][at]] = r.at[d - 2][at - 1]
+                prob[r.at[d - 1][at]] = r.prob(d - 2)[at]
         k, n = _summed(np.concatenate(keys), np.concatenate(weights))
         rows = []
         for bucket, at in _dealt_keys(k, buckets):
             first, packed = _packed_keys(k[at])
             rows.append({"bucket": bucket, BLOCK: block, "context": False, "first": first, "keys": packed, "n": _packed(n[at])})
-        if met:
-            context, first = np.unique(np.concatenate([m[0] for m in met]), return_index=True)
-            total = np.concatenate([m[1] for m in met])[first]
-            _, first = np.unique(np.concatenate([x[0] for x in told]), return_index=True)
-            c, seen, p = (np.concatenate([x[i] for x in told])[first] for i in (1, 2, 3))
-            at = np.searchsorted(context, c)
-            add = lambda v: np.bincount(at, v, len(context))
-            sums = {"kinds": add(np.ones(len(c))), "seen": add(seen)}
-            real = {"fit": add(seen * np.log(seen / p)), "mass": add(p)}
+        if d >= 2:
+            use = told >= 0
+            told, seen, prob = told[use], seen[use], prob[use]
+            add = lambda v: np.bincount(told, v, len(met))[met]
+            sums = {"kinds": add(np.ones(len(told))), "seen": add(seen)}
+            real = {"fit": add(seen * np.log(seen / prob)), "mass": add(prob)}
+            context, total = context[met], total[met]
             for bucket, at in _dealt_keys(context, buckets):
                 first, packed = _packed_keys(context[at])
                 row = {"bucket": bucket, BLOCK: block, "context": True, "first": first, "keys": packed, "n": _packed(total[at])}
@@ -408,11 +426,12 @@ def fit_and_score(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = block_counts(rows, "text", blocks)
+    buckets = blocks or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     x = dealt(rows, "id", "text", counts=counts)
     known = Level(min_context, min_entry)
     tables: list[DataFrame] = [docs.sparkSession.createDataFrame([], _TABLE)]
     for d in range(depth + 2):
-        sent = _per_block(x, tables, False, _sender(known, d, depth, counts[0]), _SENT)
+        sent = _per_block(x, tables, False, _sender(known, d, depth, buckets), _SENT)
         found = _cut(sent.groupBy("bucket").applyInArrow(_bucket(known, d, min_nats), _TABLE), "runs")
         tables.append(found.where(F.col(BLOCK) >= 0))
         if d <= depth:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import html as html_lib
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.sources.spans import BLOCKS, Document, spliced
 
 KINDS = ("inner", "text", "id")
+_UNIT = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);?|.", re.S)
 
 
 def apply(html: str, edits: list[tuple[str, str, str]]) -> tuple[str, list[str]]:
@@ -74,6 +76,58 @@ def edited(docs: DataFrame, edits: DataFrame, id_col: str, html_col: str) -> Dat
     return joined.select(*rest, "_done.problems")
 
 
+def _places(raw: str, wanted: str) -> list[tuple[int, int]]:
+    """Where ``wanted``, a text, stands in ``raw``, text with character references: offsets in ``raw``, leftmost, apart."""
+    if "&" not in raw:
+        return [m.span() for m in re.finditer(re.escape(wanted), raw)]
+    if wanted not in html_lib.unescape(raw):
+        return []
+    at, plain, size = {}, [], 0  # offset in the plain text of each place in raw between two references
+    for m in _UNIT.finditer(raw):
+        at[size] = m.start()
+        plain.append(html_lib.unescape(m[0]))
+        size += len(plain[-1])
+    at[size] = len(raw)
+    text, out, i = "".join(plain), [], 0
+    while (i := text.find(wanted, i)) >= 0:
+        if i in at and i + len(wanted) in at:
+            out.append((at[i], at[i + len(wanted)]))
+            i += len(wanted)
+        else:
+            i += 1
+    return out
+
+
+def retitle(html: str, original: str | None, translated: str | None) -> tuple[str, int, int]:
+    """The document under its new title, how many title elements and how many other places changed.
+
+    Each ``title`` holds the new title alone; in all other texts (not in
+    scripts, styles, comments and attributes) each place of the old title
+    becomes the new one.  A blank new title changes nothing, a blank old one
+    only the title elements.  What does not change keeps its bytes.
+    """
+    old, new = (original or "").strip(), (translated or "").strip()
+    if not new:
+        return html, 0, 0
+    doc, text = Document(html), html_lib.escape(new, quote=False)
+    titles = [x for x in doc.nodes if x.tag == "title" and not any(u.tag == "title" for u in x.up() if u is not x)]
+    named = [(x.inner, x.stop, text) for x in titles if "".join(t.strip() for t in doc.strings(x)) != new]
+    apart = {span for x in titles for span in doc.inside(x)}
+    other = [(a + i, a + j, text) for a, b in doc.texts if old and (a, b) not in apart for i, j in _places(html[a:b], old)]
+    return spliced(html, named + other), len(named), len(other)
+
+
+def retitled(html: Column, original: Column, translated: Column) -> Column:
+    """struct<html, titles, texts>: ``retitle`` of each row; null HTML stays null."""
+
+    def run(html: pa.Array, original: pa.Array, translated: pa.Array) -> pa.Array:
+        rows = zip(html.to_pylist(), original.to_pylist(), translated.to_pylist(), strict=True)
+        out = [(None, 0, 0) if h is None else retitle(h, o, t) for h, o, t in rows]
+        return pa.array([{"html": h, "titles": n, "texts": k} for h, n, k in out], pa.struct([("html", pa.string()), ("titles", pa.int32()), ("texts", pa.int32())]))
+
+    return F.arrow_udf(run, "struct<html:string,titles:int,texts:int>")(html, original, translated)
+
+
 def rewrite_books(spark: SparkSession, source: str, changed: DataFrame, target: str) -> None:
     """Packages of ``source`` written to ``target`` with changed members (book, name, content): order and all other members stay.
 

@@ -157,3 +157,28 @@ def edited_pages(spark, sf):
     lost = todo.select("page_id", F.lit(3).alias("position"), F.lit("/html[1]/body[1]/p[99]").alias("locator"), F.lit("inner").alias("kind"), F.lit("x").alias("value"))
     out = edits.edited(p, todo.unionByName(foot).unionByName(lost), "page_id", "html")
     return out.select("page_id", F.sha2("html", 256).alias("sha256"), F.size("problems").alias("problems"))
+
+
+@R.add(
+    "retitled_pages",
+    r"""WITH t AS (
+  SELECT page_id, html, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS raw, 'Livre ' || page_id || ' &amp; &lt;suite&gt;' AS new FROM pages
+), s AS (
+  SELECT *, regexp_extract_all(html, '(?s)<title>.*?</title>|<script.*?</script>|<style.*?</style>|<!--.*?-->|</?[a-zA-Z!][^>]*>|[^<]+|<') AS pieces FROM t
+), r AS (
+  SELECT page_id, html, pieces, raw, new, page_id % 10 <> 0 AND raw <> '' AS known FROM s
+)
+SELECT page_id, sha256(CASE WHEN page_id % 7 = 0 THEN html ELSE array_to_string(list_transform(pieces, lambda x: CASE WHEN starts_with(x, '<title>') THEN '<title>' || new || '</title>' WHEN starts_with(x, '<') OR NOT known THEN x ELSE replace(x, raw, new) END), '') END) AS sha256,
+  CAST(CASE WHEN page_id % 7 = 0 THEN 0 ELSE len(list_filter(pieces, lambda x: starts_with(x, '<title>'))) END AS INTEGER) AS titles,
+  CAST(CASE WHEN page_id % 7 = 0 OR NOT known THEN 0 ELSE list_sum(list_transform(pieces, lambda x: CASE WHEN starts_with(x, '<') THEN 0 ELSE (length(x) - length(replace(x, raw, ''))) // length(raw) END)) END AS INTEGER) AS texts
+FROM r""",
+)
+def retitled_pages(spark, sf):
+    """Every page under a new title, in its title elements and wherever its old title stands in a text; some have no new title, some no old one."""
+    n = F.col("page_id")
+    old = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+        old = F.replace(old, F.lit(entity), F.lit(sign))
+    new = F.when(n % 7 == 0, " ").otherwise(F.concat(F.lit("Livre "), n.cast("string"), F.lit(" & <suite>")))
+    done = edits.retitled(F.col("html"), F.when(n % 10 != 0, old), new)
+    return table(spark, sf, "pages").select("page_id", done.alias("d")).select("page_id", F.sha2("d.html", 256).alias("sha256"), "d.titles", "d.texts")

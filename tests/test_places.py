@@ -1,5 +1,6 @@
 """As-of joins, running values, tables of contents, edits and rewritten packages against plain computations."""
 
+import html as html_lib
 import random
 import zipfile
 
@@ -97,6 +98,36 @@ def test_localised(spark):
 PAGE = "<body>\n<P class=x>One <b>two</b>\t&amp; three</P><p/><div><p>Four</p> <p id='k'>Five</p></div>\r\n</body>"
 
 
+def test_retitle():
+    r = edits.retitle
+    page = '<title>A &amp; B</title><!-- A & B --><p class="A & B">A &amp; B, A & B; <b>A</b> &amp; B &copy;&eacute;</p><script>A & B</script>'
+    new = '<title>C &lt;D&gt;</title><!-- A & B --><p class="A & B">C &lt;D&gt;, C &lt;D&gt;; <b>A</b> &amp; B &copy;&eacute;</p><script>A & B</script>'
+    assert r(page, " A & B ", "C <D> ") == (new, 1, 2)
+    for old in (None, "", " "):
+        assert r(page, old, "C <D>") == (new.split("<!--")[0] + page[page.index("<!--") :], 1, 0)
+    for nothing in (None, "", " "):
+        assert r(page, "A & B", nothing) == (page, 0, 0)
+    assert r("", "a", "b") == ("", 0, 0) and r("aaa", "aa", "b") == ("ba", 0, 1) and r("a&amp;aa", "aa", "b") == ("a&amp;b", 0, 1)
+    assert r("<title>new a</title><p>a", "a", "new a") == ("<title>new a</title><p>new a", 0, 1)  # a new title that holds the old one is set once
+    assert r("<p>x &#65;</p>", "A", "Z")[0] == "<p>x Z</p>" and r("<p>x &#65;</p>", "&#65;", "Z")[2] == 0
+
+
+def test_retitled_places_against_unescaped_text():
+    rng = random.Random(5)
+    for _ in range(500):
+        raw = "".join(rng.choice(["a", "b", "&amp;", "&lt;", "&#97;", " "]) for _ in range(rng.randint(0, 20)))
+        old = "".join(rng.choice("ab&<") for _ in range(rng.randint(1, 3)))
+        got, _, n = edits.retitle(f"<p>{raw}</p>", old, "Q")
+        assert html_lib.unescape(got[3:-4]) == html_lib.unescape(raw).replace(old, "Q") and n == html_lib.unescape(raw).count(old)
+
+
+def test_retitled_nulls(spark):
+    docs = spark.createDataFrame([(1, None, "a", "b"), (2, "<p>a", None, "b"), (3, "<p>a", "a", None), (4, "<p>a", "a", "b")], "id int, html string, o string, t string")
+    got = {r.id: tuple(r.d) for r in docs.select("id", edits.retitled(docs.html, docs.o, docs.t).alias("d")).collect()}
+    assert got == {1: (None, 0, 0), 2: ("<p>a", 0, 0), 3: ("<p>a", 0, 0), 4: ("<p>b", 0, 1)}
+    assert docs.where("id > 4").select(edits.retitled(docs.html, docs.o, docs.t)).collect() == []
+
+
 def test_edits():
     e = lambda *x: edits.apply(PAGE, list(x))
     one, five = "/body[1]/p[1]", "/body[1]/div[1]/p[2]"

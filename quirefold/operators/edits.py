@@ -98,13 +98,15 @@ def _places(raw: str, wanted: str) -> list[tuple[int, int]]:
     return out
 
 
-def retitle(html: str, original: str | None, translated: str | None) -> tuple[str, int, int]:
+def retitle(html: str, original: str | None, translated: str | None, raw: bool = False) -> tuple[str, int, int]:
     """The document under its new title, how many title elements and how many other places changed.
 
     Each ``title`` holds the new title alone; in all other texts (not in
     scripts, styles, comments and attributes) each place of the old title
     becomes the new one.  A blank new title changes nothing, a blank old one
-    only the title elements.  What does not change keeps its bytes.
+    only the title elements.  What does not change keeps its bytes.  raw: the
+    old title is as the source has it, and is found as it stands there, even
+    where a character reference goes on after it.
     """
     old, new = (original or "").strip(), (translated or "").strip()
     if not new:
@@ -113,16 +115,16 @@ def retitle(html: str, original: str | None, translated: str | None) -> tuple[st
     titles = [x for x in doc.nodes if x.tag == "title" and not any(u.tag == "title" for u in x.up() if u is not x)]
     named = [(x.inner, x.stop, text) for x in titles if "".join(t.strip() for t in doc.strings(x)) != new]
     apart = {span for x in titles for span in doc.inside(x)}
-    other = [(a + i, a + j, text) for a, b in doc.texts if old and (a, b) not in apart for i, j in _places(html[a:b], old)]
+    other = [(a + i, a + j, text) for a, b in doc.texts if old and (a, b) not in apart for i, j in ([m.span() for m in re.finditer(re.escape(old), html[a:b])] if raw else _places(html[a:b], old))]
     return spliced(html, named + other), len(named), len(other)
 
 
-def retitled(html: Column, original: Column, translated: Column) -> Column:
+def retitled(html: Column, original: Column, translated: Column, raw: bool = False) -> Column:
     """struct<html, titles, texts>: ``retitle`` of each row; null HTML stays null."""
 
     def run(html: pa.Array, original: pa.Array, translated: pa.Array) -> pa.Array:
         rows = zip(html.to_pylist(), original.to_pylist(), translated.to_pylist(), strict=True)
-        out = [(None, 0, 0) if h is None else retitle(h, o, t) for h, o, t in rows]
+        out = [(None, 0, 0) if h is None else retitle(h, o, t, raw) for h, o, t in rows]
         return pa.array([{"html": h, "titles": n, "texts": k} for h, n, k in out], pa.struct([("html", pa.string()), ("titles", pa.int32()), ("texts", pa.int32())]))
 
     return F.arrow_udf(run, "struct<html:string,titles:int,texts:int>")(html, original, translated)

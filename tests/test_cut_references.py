@@ -2,6 +2,7 @@
 
 import pytest
 
+from quirefold.operators import edits
 from quirefold.plans import registry
 from tests.oracle import compare, tables
 
@@ -23,3 +24,9 @@ def same(spark, sf, name):
 
 def test_paragraph_context(spark, sf):
     same(spark, sf, "paragraph_context")
+
+
+def test_retitled_pages(spark, sf):
+    same(spark, sf, "retitled_pages")
+    assert edits.retitle("<title>x</title><p>for&amp; for&a", "for&a", "Z", raw=True) == ("<title>Z</title><p>Zmp; Z", 1, 2)
+    assert edits.retitle("<title>x</title><p>for&amp; for&a", "for&a", "Z") == ("<title>Z</title><p>for&amp; Z", 1, 1)

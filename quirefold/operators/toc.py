@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.operators import ordered
-from quirefold.sources.spans import Document
+from quirefold.sources.spans import Document, References
 
 LEVELS = {f"h{k}": k for k in range(1, 7)}
 # Files that hold no chapters; the longest title; the lengths of a paragraph that may be a heading.
@@ -35,9 +35,9 @@ def _bold_and_centred(doc: Document, node, bold_starts: list[int]) -> bool:
     return ("font-weight" in style and "bold" in style) or any(node.inner <= s < node.stop for s in bold_starts)
 
 
-def headings_of(html: str) -> list[tuple]:
+def headings_of(html: str, references: References = None) -> list[tuple]:
     """(number, level, title, anchor, start, locator, spaced title) of a file: its headings, then centred bold paragraphs that read like one."""
-    doc = Document(html)
+    doc = Document(html, references)
     found, rest = [], []
     bold = [x.start for x in doc.nodes if x.tag in ("b", "strong")]
     for x in doc.nodes:
@@ -58,8 +58,11 @@ def headings_of(html: str) -> list[tuple]:
     return [(i, level, title, x.attribute("id") if level and x.tag in LEVELS else None, x.start, x.locator(), spaced) for i, (level, title, x, spaced) in enumerate(found)]
 
 
-def headings(files: DataFrame, html: str = "html") -> DataFrame:
-    """(book, place, file, number, level, title, anchor, start, locator, spaced) from files (book, place, file, html); files without chapters are left out."""
+def headings(files: DataFrame, html: str = "html", references: References = None) -> DataFrame:
+    """(book, place, file, number, level, title, anchor, start, locator, spaced) from files (book, place, file, html); files without chapters are left out.
+
+    Titles have ``references`` read as in ``Document``.
+    """
     base = F.lower(F.substring_index("file", "/", -1))
     rows = files.where(~base.rlike(NO_CHAPTER)).select(F.struct("book", "place", "file").alias("key"), F.col(html).alias("html"))
 
@@ -67,7 +70,7 @@ def headings(files: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             out, at = [], []
             for i, text in enumerate(batch.column("html").to_pylist()):
-                got = headings_of(text or "")
+                got = headings_of(text or "", references)
                 out += got
                 at += [i] * len(got)
             cols = list(zip(*out, strict=True)) or [[]] * len(_FIELDS)

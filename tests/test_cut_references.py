@@ -34,3 +34,7 @@ def test_retitled_pages(spark, sf):
 
 def test_sitemap_urls(spark, sf):
     same(spark, sf, "sitemap_urls")
+
+
+def test_toc_rebuilt(spark, sf):
+    same(spark, sf, "toc_rebuilt")

@@ -6,15 +6,17 @@ executors, and beyond ``BOUND`` terms the words are matched by an equi-join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.pieces import arrow_udf
 from quirefold.operators.ordered import spans_without_overlap
 
 BOUND = 200_000
+_HIT = pa.struct([("term", pa.string()), ("start", pa.int32())])
 
 
 def collected(terms: DataFrame) -> dict[str, str]:
@@ -38,27 +40,29 @@ def replace_terms(terms: dict[str, str], match: str = "longest"):
     if len(terms) > BOUND:
         raise ValueError(f"more than {BOUND} terms; use phrases.hits")
 
-    @F.pandas_udf("text string, hits array<struct<term:string,start:int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a = automaton() if terms else None
-        for texts in batches:
-            yield replaced(a, texts)
+    built = []  # by the worker, at its first piece
 
-    def replaced(a, texts: pd.Series) -> pd.DataFrame:
-        out, hits = [], []
-        for t in texts:
+    def run(texts: pa.Array) -> pa.Array:
+        if terms and not built:
+            built.append(automaton())
+        a = built[0] if built else None
+        out, sizes, found_terms, starts = [], [0], [], []
+        for t in texts.to_pylist():
             found = sorted(((e - len(s) + 1, e + 1, s) for e, s in a.iter(t)), key=lambda x: (x[0], -x[1] if match == "longest" else x[1])) if a and t else []
-            at, parts, own = 0, [], []
+            at, parts = 0, []
             for s, e, term in found:
                 if s >= at:
                     parts += [t[at:s], terms[term]]
-                    own.append({"term": term, "start": s})
+                    found_terms.append(term)
+                    starts.append(s)
                     at = e
             out.append(t if t is None else "".join(parts) + t[at:])
-            hits.append(own)
-        return pd.DataFrame({"text": out, "hits": hits})
+            sizes.append(len(parts) // 2)
+        hits = pa.StructArray.from_arrays([pa.array(found_terms, pa.string()), pa.array(starts, pa.int32())], fields=list(_HIT))
+        listed = pa.ListArray.from_arrays(pa.array(accumulate(sizes), pa.int32()), hits)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), listed], names=["text", "hits"])
 
-    return run
+    return arrow_udf(run, "struct<text:string,hits:array<struct<term:string,start:int>>>")
 
 
 def matched_words(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:

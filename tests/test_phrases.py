@@ -74,3 +74,22 @@ def test_many_terms_are_verified_in_time(spark):
     assert (got[2].text, got[2].fixed, got[2].missing) == ("nothing", 0, []) and got[3].text == "x"
     assert got[4].missing == [f"term{i}x→wort{i}x" for i in range(10)]
     assert d.select(lexicon.verify_and_fix(F.col("s"), F.col("t"), {})["text"].alias("x")).first().x == "wort1x term250x"
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_runs_that_are_no_phrase_stay_where_they_are(spark, monkeypatch, known):
+    """The words are read once for all lengths, and few runs besides the hits go to the join; without a bitmap all do."""
+    if not known:
+        monkeypatch.setattr(phrases, "MOST_PHRASES", 0)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(100)) + " hot phrase here") for i in range(150)] + [(900, None), (901, ""), (902, "here"), (903, "hot phrase")]
+    terms = ["hot phrase", "hot phrase here", "here", "w3x4 w3x5", *(f"no{i} such{i} run{i}" for i in range(500))]
+    d, t = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    found = phrases.hits(d, t, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1
+    joined = found.collect()
+    assert sorted((tuple(r) for r in joined), key=str) == brute(texts, terms)
+    lengths = [1, 2, 3]
+    marked = phrases._bitmap(phrases.prepared(t), lengths, 16) if known else None
+    runs = d.select(F.explode(phrases._likely(phrases._hashes(phrases.words(F.col("text"))), lengths, 16, marked))).count()
+    assert runs < len(joined) + 1000 if known else runs == 150 * (103 + 102 + 101) + 1 + 2 + 1

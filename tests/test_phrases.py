@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.operators import lexicon, phrases
+from quirefold.plans import registry
 
 
 def brute(texts, terms):
@@ -93,3 +94,8 @@ def test_runs_that_are_no_phrase_stay_where_they_are(spark, monkeypatch, known):
     marked = phrases._bitmap(phrases.prepared(t), lengths, 16) if known else None
     runs = d.select(F.explode(phrases._likely(phrases._hashes(phrases.words(F.col("text"))), lengths, 16, marked))).count()
     assert runs < len(joined) + 1000 if known else runs == 150 * (103 + 102 + 101) + 1 + 2 + 1
+
+
+def test_counts_read_the_words_once(spark):
+    plan = registry.QUERIES["phrase_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions.pieces import arrow_udf
 from quirefold.sources.spans import BLOCKS, Document, spliced
 
 KINDS = ("inner", "text", "id")
@@ -70,7 +71,7 @@ def edited(docs: DataFrame, edits: DataFrame, id_col: str, html_col: str) -> Dat
             out.append({"html": new, "problems": wrong})
         return pa.array(out, pa.struct([("html", pa.string()), ("problems", pa.list_(pa.string()))]))
 
-    done = F.arrow_udf(run, "struct<html:string,problems:array<string>>")
+    done = arrow_udf(run, "struct<html:string,problems:array<string>>")
     joined = docs.join(rows, F.col(id_col) == F.col("_id"), "left").withColumn("_done", done(F.col(html_col), F.col("_edits")))
     rest = [F.col("_done.html").alias(c) if c == html_col else F.col(c) for c in docs.columns]
     return joined.select(*rest, "_done.problems")
@@ -127,7 +128,7 @@ def retitled(html: Column, original: Column, translated: Column, raw: bool = Fal
         out = [(None, 0, 0) if h is None else retitle(h, o, t, raw) for h, o, t in rows]
         return pa.array([{"html": h, "titles": n, "texts": k} for h, n, k in out], pa.struct([("html", pa.string()), ("titles", pa.int32()), ("texts", pa.int32())]))
 
-    return F.arrow_udf(run, "struct<html:string,titles:int,texts:int>")(html, original, translated)
+    return arrow_udf(run, "struct<html:string,titles:int,texts:int>")(html, original, translated)
 
 
 def rewrite_books(spark: SparkSession, source: str, changed: DataFrame, target: str) -> None:

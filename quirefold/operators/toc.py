@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.pieces import pieces
 from quirefold.operators import ordered
 from quirefold.sources.spans import Document, References
 
@@ -67,7 +68,7 @@ def headings(files: DataFrame, html: str = "html", references: References = None
     rows = files.where(~base.rlike(NO_CHAPTER)).select(F.struct("book", "place", "file").alias("key"), F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out, at = [], []
             for i, text in enumerate(batch.column("html").to_pylist()):
                 got = headings_of(text or "", references)

@@ -4,10 +4,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirefold.functions import pieces
-from quirefold.operators import lexicon
+from quirefold.operators import edits, inline, lexicon, toc
 from quirefold.plans import registry
+from quirefold.sources import spans
 
 N = 1000
+PAGE = "<html><body><h1>the title of</h1><p><b>and</b> der</p><footer>f</footer></body></html>"
 TERMS = {"the": "THE", "of": "OF"}
 
 
@@ -44,3 +46,28 @@ def test_replace_terms(spark, monkeypatch):
 def test_one_pass_over_the_texts(spark):
     plan = registry.QUERIES["lexicon_hits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def mapped(monkeypatch, spark, build):
+    """What the function handed to mapInArrow gives for one batch."""
+    got = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema, *a: got.append(f) or spark.createDataFrame([], schema))
+    build()
+    return got[-1]
+
+
+def test_edits(spark, monkeypatch):
+    pages = spark.createDataFrame([], "page_id long, html string")
+    run = mapped(monkeypatch, spark, lambda: spans.elements(pages, "page_id", "html", {"h1"}))
+    assert small(run(iter([pa.RecordBatch.from_pydict({"id": list(range(N)), "html": [PAGE] * N})])))[-1]["title"] == "the title of"
+    files = spark.createDataFrame([], "book long, place long, file string, html string")
+    run = mapped(monkeypatch, spark, lambda: toc.headings(files))
+    small(run(iter([pa.RecordBatch.from_pydict({"key": [{"book": 1, "place": i, "file": "f"} for i in range(N)], "html": [PAGE] * N})])))
+    got = given(monkeypatch)
+    edits.edited(pages, spark.createDataFrame([], "page_id long, position int, locator string, kind string, value string"), "page_id", "html")
+    todo = pa.array([[{"position": 1, "locator": "/html[1]/body[1]/h1[1]", "kind": "text", "value": "x"}] if i % 2 else None for i in range(N)])
+    assert small(got[-1](iter([(pa.array([PAGE] * N), todo)])))[1]["html"] == PAGE.replace("the title of", "x")
+    edits.retitled(pages.html, pages.html, pages.html)
+    assert small(got[-1](iter([(pa.array([PAGE] * N), pa.array(["der"] * N), pa.array(["z"] * N))])))[5]["texts"] == 1
+    inline.protected(pages.html)
+    small(got[-1](iter([pa.array([PAGE] * N)])))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import pieces
 from quirefold.operators import edits, inline, lexicon, toc
 from quirefold.plans import registry
-from quirefold.sources import spans
+from quirefold.sources import html, spans
 
 N = 1000
 PAGE = "<html><body><h1>the title of</h1><p><b>and</b> der</p><footer>f</footer></body></html>"
@@ -71,3 +71,9 @@ def test_edits(spark, monkeypatch):
     assert small(got[-1](iter([(pa.array([PAGE] * N), pa.array(["der"] * N), pa.array(["z"] * N))])))[5]["texts"] == 1
     inline.protected(pages.html)
     small(got[-1](iter([pa.array([PAGE] * N)])))
+
+
+def test_chunk_html(spark, monkeypatch):
+    run = mapped(monkeypatch, spark, lambda: html.chunk_html(spark.createDataFrame([], "page_id long, html string"), "page_id", "html"))
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(N)), "html": [PAGE] * N})])))
+    assert max(len(set(x.column("id").to_pylist())) for x in out) <= pieces.ROWS and sum(len(x) for x in out) == 2 * N

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quirefold.functions.pieces import arrow_udf
+
 STEP = "struct<stage:string,status:string,changed:boolean,chars_in:long,chars_out:long,ms:double,error:string,counts:map<string,long>>"
 _ARROW = pa.struct(
     [
@@ -105,12 +107,11 @@ def _applied(stages: list[Stage], text: str, kind: int | None, with_kind: bool)
 
 
 def _in_python(df: DataFrame, stages: list[Stage], text: str, kind: str | None) -> DataFrame:
-    @F.arrow_udf(f"struct<text:string,trail:array<{STEP}>>")
     def run(texts: pa.Array, kinds: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), kinds.to_pylist(), strict=True)
         return pa.array([_applied(stages, t, k, kind is not None) for t, k in pairs], _ARROW)
 
-    df = df.withColumn("_run", run(F.col(text), F.col(kind).cast("int") if kind else F.lit(0)))
+    df = df.withColumn("_run", arrow_udf(run, f"struct<text:string,trail:array<{STEP}>>")(F.col(text), F.col(kind).cast("int") if kind else F.lit(0)))
     return df.withColumns({"trail": F.concat("trail", "_run.trail"), text: F.col("_run.text")}).drop("_run")
 
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirefold.functions import pieces
-from quirefold.operators import edits, inline, lexicon, toc
+from quirefold.operators import chain, edits, inline, lexicon, toc
 from quirefold.plans import registry
 from quirefold.sources import html, spans
 
@@ -77,3 +77,11 @@ def test_chunk_html(spark, monkeypatch):
     run = mapped(monkeypatch, spark, lambda: html.chunk_html(spark.createDataFrame([], "page_id long, html string"), "page_id", "html"))
     out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(N)), "html": [PAGE] * N})])))
     assert max(len(set(x.column("id").to_pylist())) for x in out) <= pieces.ROWS and sum(len(x) for x in out) == 2 * N
+
+
+def test_chain(spark, monkeypatch):
+    got = given(monkeypatch)
+    stage = chain.Stage("twice", function=lambda t: (t * 2, {"n": 1}))
+    chain.run(spark.createDataFrame([], "content string"), [stage])
+    rows = small(got[-1](iter([(pa.array(["ab"] * N), pa.array([0] * N))])))
+    assert rows[-1]["text"] == "abab" and rows[-1]["trail"][0]["counts"] == [("n", 1)]

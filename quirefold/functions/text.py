@@ -123,14 +123,23 @@ def footnote(html: Column) -> Column:
 def tag_counts(html: Column) -> Column:
     """Map of tag name to number of opening tags."""
     tags = F.transform(F.regexp_extract_all(html, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), lambda t: F.lower(t))
-    names = F.array_sort(F.array_distinct(tags))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(tags, lambda t: t == n))))
+
+    def counted(ts: Column) -> Column:
+        names = F.array_sort(F.array_distinct(ts))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(ts, lambda t: t == n))))
+
+    # bound by a lambda, else the page is searched again for each name
+    return F.transform(F.array(tags), counted)[0]
 
 
 def tag_delta(a: Column, b: Column) -> Column:
     """Tags whose counts differ, with both counts."""
-    both = F.map_zip_with(tag_counts(a), tag_counts(b), lambda _, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("source"), F.coalesce(y, F.lit(0)).alias("translated")))
-    return F.map_filter(both, lambda _, v: v["source"] != v["translated"])
+
+    def compared(ab: Column) -> Column:
+        both = F.map_zip_with(ab["a"], ab["b"], lambda _, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("source"), F.coalesce(y, F.lit(0)).alias("translated")))
+        return F.map_filter(both, lambda _, v: v["source"] != v["translated"])
+
+    return F.transform(F.array(F.struct(tag_counts(a).alias("a"), tag_counts(b).alias("b"))), compared)[0]
 
 
 def any_of(c: Column, words: tuple[str, ...]) -> Column:

@@ -453,7 +453,8 @@ def tag_deltas(spark, sf):
     """Tags whose counts an edit of each page changes, with both counts."""
     p = table(spark, sf, "pages")
     b = F.replace(F.replace(F.replace("html", F.lit("<b>"), F.lit("<em>")), F.lit("<br>"), F.lit("")), F.lit("<p>"), F.lit("<p><i>"))
-    d = p.select("page_id", F.explode(text.tag_delta(F.col("html"), b)).alias("tag", "v"))
+    # outer: explode would have a filter on the map's size, which computes it a second time
+    d = p.select("page_id", F.explode_outer(text.tag_delta(F.col("html"), b)).alias("tag", "v")).where("tag is not null")
     return d.select("page_id", "tag", F.col("v.source").cast("long").alias("source"), F.col("v.translated").cast("long").alias("translated"))
 
 

@@ -85,3 +85,9 @@ def test_chain(spark, monkeypatch):
     chain.run(spark.createDataFrame([], "content string"), [stage])
     rows = small(got[-1](iter([(pa.array(["ab"] * N), pa.array([0] * N))])))
     assert rows[-1]["text"] == "abab" and rows[-1]["trail"][0]["counts"] == [("n", 1)]
+
+
+def test_replaced_texts_in_pieces(spark, monkeypatch):
+    got = given(monkeypatch)
+    registry.QUERIES["lexicon_replaced_all"](spark, "/root/testdata/sf0.001")
+    assert small(got[-1](iter([pa.array(["the der"] * N)])))[-1]["text"] == "THE DER"

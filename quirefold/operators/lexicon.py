@@ -6,6 +6,9 @@ executors, and beyond ``BOUND`` terms the words are matched by an equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from io import StringIO
 from itertools import accumulate
 
 import pyarrow as pa
@@ -26,8 +29,30 @@ def collected(terms: DataFrame) -> dict[str, str]:
     return {r["src"]: r["dst"] for r in rows}
 
 
-def replace_terms(terms: dict[str, str], match: str = "longest"):
-    """UDF text -> struct(text, hits): leftmost matches without overlap; at one start the longest (or shortest) wins."""
+def _spans(a, text: str, widest: int, longest: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term) of the matches taken; of all others only those that begin in the last ``widest`` characters are held."""
+    at, waiting = 0, []  # the automaton goes by the matches' ends
+
+    def taken(before: int) -> Iterator[tuple[int, int, str]]:
+        nonlocal at
+        while waiting and waiting[0][0] < before:
+            s, e, term = heappop(waiting)
+            if s >= at:
+                at = abs(e)
+                yield s, at, term
+
+    for last, term in a.iter(text):
+        e = last + 1
+        yield from taken(e - widest)  # no later match begins before that
+        heappush(waiting, (e - len(term), -e if longest else e, term))
+    yield from taken(len(text))
+
+
+def replace_terms(terms: dict[str, str], match: str = "longest", hits: bool = True):
+    """UDF text -> struct(text, hits): leftmost matches without overlap; at one start the longest (or shortest) wins.
+
+    Without ``hits`` the struct has the text alone.
+    """
     import ahocorasick
 
     def automaton():
@@ -41,6 +66,7 @@ def replace_terms(terms: dict[str, str], match: str = "longest"):
         raise ValueError(f"more than {BOUND} terms; use phrases.hits")
 
     built = []  # by the worker, at its first piece
+    widest = max(map(len, terms), default=0)
 
     def run(texts: pa.Array) -> pa.Array:
         if terms and not built:
@@ -48,21 +74,26 @@ def replace_terms(terms: dict[str, str], match: str = "longest"):
         a = built[0] if built else None
         out, sizes, found_terms, starts = [], [0], [], []
         for t in texts.to_pylist():
-            found = sorted(((e - len(s) + 1, e + 1, s) for e, s in a.iter(t)), key=lambda x: (x[0], -x[1] if match == "longest" else x[1])) if a and t else []
-            at, parts = 0, []
-            for s, e, term in found:
-                if s >= at:
-                    parts += [t[at:s], terms[term]]
+            at, n, new = 0, 0, StringIO()
+            for s, e, term in _spans(a, t, widest, match == "longest") if a and t else ():
+                new.write(t[at:s])
+                new.write(terms[term])
+                if hits:
                     found_terms.append(term)
                     starts.append(s)
-                    at = e
-            out.append(t if t is None else "".join(parts) + t[at:])
-            sizes.append(len(parts) // 2)
-        hits = pa.StructArray.from_arrays([pa.array(found_terms, pa.string()), pa.array(starts, pa.int32())], fields=list(_HIT))
-        listed = pa.ListArray.from_arrays(pa.array(accumulate(sizes), pa.int32()), hits)
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), listed], names=["text", "hits"])
-
-    return arrow_udf(run, "struct<text:string,hits:array<struct<term:string,start:int>>>")
+                at, n = e, n + 1
+            if n:
+                new.write(t[at:])
+            out.append(new.getvalue() if n else t)
+            sizes.append(n)
+        replaced = pa.array(out, pa.string())
+        if not hits:
+            return pa.StructArray.from_arrays([replaced], names=["text"])
+        found = pa.StructArray.from_arrays([pa.array(found_terms, pa.string()), pa.array(starts, pa.int32())], fields=list(_HIT))
+        listed = pa.ListArray.from_arrays(pa.array(accumulate(sizes), pa.int32()), found)
+        return pa.StructArray.from_arrays([replaced, listed], names=["text", "hits"])
+
+    return arrow_udf(run, "struct<text:string,hits:array<struct<term:string,start:int>>>" if hits else "struct<text:string>")
 
 
 def matched_words(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:

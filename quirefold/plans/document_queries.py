@@ -57,7 +57,7 @@ SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(gaps) + 1), la
 )
 def lexicon_replaced_all(spark, sf):
     """Replaced texts of every document, in all languages and with overlapping terms."""
-    return table(spark, sf, "documents").select("doc_id", F.sha2(lexicon.replace_terms(TERMS)("text")["text"], 256).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(lexicon.replace_terms(TERMS, hits=False)("text")["text"], 256).alias("digest"))
 
 
 @R.add(

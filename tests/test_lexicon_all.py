@@ -29,3 +29,26 @@ def test_overlaps(spark):
     texts = ["ander under wander", "", *("".join(rnd.choice(["an", "d", "e", "r", "th", "ea", "n", " "]) for _ in range(60)) for _ in range(100))]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", replace_terms(terms)("text")["text"].alias("r")).collect()
     assert all(r.r == brute(r.text, terms) for r in rows) and len(rows) == len(texts)
+
+
+def test_hits_of_overlapping_terms():
+    """Longest and shortest, against all matches sorted."""
+    import ahocorasick
+
+    from quirefold.operators.lexicon import _spans
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        terms = {"".join(rnd.choices("abé", k=rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 9))}
+        text = "".join(rnd.choices("abé", k=rnd.randrange(60)))
+        a = ahocorasick.Automaton()
+        for t in terms:
+            a.add_word(t, t)
+        a.make_automaton()
+        for sign in (-1, 1):
+            want, at = [], 0
+            for s, e, t in sorted(((i, i + len(t), t) for t in terms for i in range(len(text)) if text.startswith(t, i)), key=lambda x: (x[0], sign * x[1])):
+                if s >= at:
+                    want.append((s, e, t))
+                    at = e
+            assert list(_spans(a, text, max(map(len, terms)), sign < 0)) == want

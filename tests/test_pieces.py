@@ -1,5 +1,7 @@
 """Python steps hold the objects of a few rows at a time, however large Arrow's batches are."""
 
+import tracemalloc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -91,3 +93,30 @@ def test_replaced_texts_in_pieces(spark, monkeypatch):
     got = given(monkeypatch)
     registry.QUERIES["lexicon_replaced_all"](spark, "/root/testdata/sf0.001")
     assert small(got[-1](iter([pa.array(["the der"] * N)])))[-1]["text"] == "THE DER"
+
+
+def test_pieces_of_long_texts_are_small(spark, monkeypatch):
+    """64 rows may be the whole 64 MB of a batch: the bytes of a piece are bounded too, and one long row goes alone."""
+    got = given(monkeypatch)
+    seen = []
+    pieces.arrow_udf(lambda x, y: seen.append((x.nbytes, y.nbytes)) or x, "string")
+    texts = pa.array(["the " * 25_000 if i % 3 else None for i in range(90)] + ["of " * 700_000] + ["x"] * 9)
+    out = list(got[-1](iter([(texts, pa.array(range(100)))])))
+    assert [v for x in out for v in x.to_pylist()] == texts.to_pylist()
+    assert all(a + b <= pieces.BYTES or len(x) == 1 for (a, b), x in zip(seen, out, strict=True)) and len(out) < 50
+    batches = list(pieces.pieces(iter([pa.RecordBatch.from_arrays([texts], ["t"])])))
+    assert all(x.nbytes <= pieces.BYTES or len(x) == 1 for x in batches) and pa.Table.from_batches(batches).column("t").to_pylist() == texts.to_pylist()
+
+
+def test_a_long_text_is_replaced_in_little_memory(spark, monkeypatch):
+    got = given(monkeypatch)
+    registry.QUERIES["lexicon_replaced_all"](spark, "/root/testdata/sf0.001")
+    text = "the der\r\nof " * 100_000
+    given_texts = [pa.array([text])]
+    tracemalloc.start()
+    try:
+        rows = [v for x in got[-1](iter(given_texts)) for v in x.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == [{"text": "THE DER\r\nOF " * 100_000}] and most < 8 * len(text)
